@@ -125,11 +125,11 @@ v AS (
   FROM t JOIN s ON t.conv_id = s.conv_id
 ), o AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, block ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
-            + length(head) AS at FROM v
+            + length(head) AS place FROM v
 )
 SELECT conv_id, perspective, CAST(block AS BIGINT) AS block, CAST(count(*) AS BIGINT) AS n_turns,
        CAST(count(*) FILTER (WHERE own) AS BIGINT) AS n_assistant, string_agg(head || body || chr(10), '' ORDER BY seq) AS rendered,
-       list({'start': CAST(at AS BIGINT), 'stop': CAST(at + length(body) AS BIGINT)} ORDER BY seq) FILTER (WHERE own) AS mask
+       list({'start': CAST(place AS BIGINT), 'stop': CAST(place + length(body) AS BIGINT)} ORDER BY seq) FILTER (WHERE own) AS mask
 FROM o GROUP BY conv_id, perspective, block
 """
 
