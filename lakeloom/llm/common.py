@@ -2,52 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Sequence
+from pyspark.sql import DataFrame
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from ..sources.scratch import col, materialize, new_path, number_rows, remove, shared_dir
 
-ROW_IN_PARTITION_BITS = 33  # fixed by Spark's monotonically_increasing_id()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor share, from ``spark.checkpoint.dir``.
-
-    Only where the session does not name one (tests, a single machine) is a
-    temporary folder made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lakeloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lakeloom-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
-
-    Written files survive a lost executor, and everything below is computed once.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Delete the files behind a materialized frame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+__all__ = ["col", "fresh", "materialize", "new_path", "number_rows", "remove", "shared_dir"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -60,34 +19,3 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
-
-
-def col(name: str) -> Column:
-    """A column by its literal name, dots and backticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
-def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> tuple[DataFrame, int]:
-    """Number the rows 0..n-1 in the total order ``order``; also return n.
-
-    A range-partitioned sort is written once with each row's partition and
-    position; only one count per partition reaches the driver.  No window over
-    the whole table and no single task sees all rows.  Rows that tie in
-    ``order`` get neighbouring numbers, so ``order`` should cover all columns
-    that matter.
-    """
-    made = materialize(
-        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()),
-        "rows",
-    )
-    part = F.shiftright(col(name), ROW_IN_PARTITION_BITS)
-    counts = sorted(tuple(r) for r in made.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    start, total = {}, 0
-    for p, n in counts:
-        start[p] = total
-        total += n
-    if not counts:
-        return made, 0
-    starts = F.array(*[F.lit(start.get(p, 0)).cast("long") for p in range(counts[-1][0] + 1)])
-    row = col(name).bitwiseAND(F.lit((1 << ROW_IN_PARTITION_BITS) - 1))
-    return made.withColumn(name, F.element_at(starts, part.cast("int") + F.lit(1)) + row), total
