@@ -82,8 +82,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     level = index.compact()
 
     # Hits: groups of more than one row.  Each hit's text is compared with that of the row that stays.
-    groups = level.filter("entries > 1").select("digest", "keep_id")
-    hits = rows.withColumn("digest", digest(F.col("norm"))).join(groups, "digest")
+    # Texts move by doc_id, which spreads a large group, and meet as one least and one greatest text of each task.
+    groups = level.filter("entries > 1").select("digest")
+    flagged = entries.join(groups, "digest").select(F.col("doc_id").alias("hit_id"), "digest")
+    hits = rows.join(flagged, F.col("doc_id").eqNullSafe(F.col("hit_id"))).filter(digest(F.col("norm")) == F.col("digest"))
     ends = hits.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
     unequal = materialize(ends.filter("least <> most").select("digest"), "unequal")
     seen = entries.join(level, "digest", "left").select("doc_id", "digest", "keep_id", F.col("entries").alias("group_size"))
