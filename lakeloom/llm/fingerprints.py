@@ -18,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, number_rows
+from .common import materialize, number_rows, setting
 
 SAMPLES = 64
 TAG_BITS = 24  # of (term, t), below the quantised ln a
 SCALE = 1 << 29  # steps of ln a for each unit; ln a + OFFSET is below 2 ** 9
-OFFSET = 200.0  # |ln a| stays far below: c and r come from 20-bit uniforms
+OFFSET = 200.0  # |ln a| stays far below: c and r come from 13-bit uniforms
 EMPTY = "-"  # fingerprint of a text without words
 
 
@@ -34,14 +34,18 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
 
 
 def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """Packed (ln a, tag) of one term in sample k; the least over a text's terms is its sample."""
-    one, two = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    r = -F.ln(_uniform(one, 0, 20) * _uniform(one, 20, 20))
-    c = -F.ln(_uniform(two, 0, 20) * _uniform(two, 20, 20))
-    beta = _uniform(one, 40, 20)
+    """Packed (ln a, tag) of one term in sample k; the least over a text's terms is its sample.
+
+    One 64-bit hash of term and k gives all draws: 13 bits for each of the four
+    uniforms behind r and c, 12 for beta.
+    """
+    bits = F.xxhash64(term, F.lit(k))
+    r = -F.ln(_uniform(bits, 0, 13) * _uniform(bits, 13, 13))
+    c = -F.ln(_uniform(bits, 38, 13) * _uniform(bits, 51, 13))
+    beta = _uniform(bits, 26, 12)
     t = F.floor(log_weight / r + beta)
     log_a = F.ln(c) - r * (t.cast("double") - beta + F.lit(1.0))
-    tag = F.shiftrightunsigned(two, 40).bitwiseXOR(t * F.lit(7919).cast("long")).bitwiseAND(F.lit((1 << TAG_BITS) - 1).cast("long"))
+    tag = bits.bitwiseXOR(t * F.lit(7919).cast("long")).bitwiseAND(F.lit((1 << TAG_BITS) - 1).cast("long"))
     return F.shiftleft(F.floor((log_a + F.lit(OFFSET)) * F.lit(float(SCALE))), TAG_BITS).bitwiseOR(tag)
 
 
@@ -121,8 +125,8 @@ def compare_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     shared = F.regexp_extract("body", r"(?s)\A.*[\x20\x09-\x0D]", 0)  # whole words before the cut, with the white space after them
     texts = texts.withColumn("shared", shared)
     rest = F.expr("substring(body, length(shared) + 1)")
-    digest = F.sha2(F.concat("body", "head"), 256)
-    pieces = F.concat_ws(" ", *[F.concat(F.lit(str(i)), F.substring(digest, 16 * i + 1, 16)) for i in range(4)])  # numbered, as four words
+    texts = texts.withColumn("digest", F.sha2(F.concat("body", "head"), 256))
+    pieces = F.concat_ws(" ", *[F.concat(F.lit(str(i)), F.substring("digest", 16 * i + 1, 16)) for i in range(4)])  # numbered, as four words
     parts = texts.select(
         "k1", "k2", F.posexplode(F.array("shared", F.concat(rest, F.col("tail")), F.concat(rest, F.col("head")), pieces)).alias("part", "text")
     )
@@ -166,7 +170,8 @@ def _finish(counts: DataFrame, pairs: DataFrame, samples: int) -> DataFrame:
         return F.when(F.col(f"{letter}0").isNotNull(), F.array(*short))
 
     digest = F.concat(*[F.lpad(F.lower(F.hex(f"d{i}")), 16, "0") for i in range(4)])
-    made = materialize(both.select("k1", "k2", digest.alias("edited_sha256"), joined("o").alias("own"), joined("e").alias("edited")), "signatures")
+    with setting(pairs.sparkSession, "spark.sql.subexpressionElimination.enabled", "false"):  # it spills the 64 samples' terms to fields, which costs more than it saves
+        made = materialize(both.select("k1", "k2", digest.alias("edited_sha256"), joined("o").alias("own"), joined("e").alias("edited")), "signatures")
     following = made.select(F.col("k1").alias("next_k1"), F.col("k2").alias("next_k2"), F.col("own").alias("next_own"))
     out = pairs.join(made, ["k1", "k2"]).join(following, ["next_k1", "next_k2"])
     out = out.select(
