@@ -7,9 +7,9 @@ equal sets are one class and are compared once.
    first n - ceil(t n) + 1.  Two sets of similarity t or more share a prefix
    shingle, whatever the order; very frequent shingles are last in it, so that
    common passages make no candidates.
-2. The classes of one prefix shingle are a tile, sorted by size and cut in bands
-   in which sizes allow a link.  A small tile gives its pairs, a large one pairs
-   each class with the first of its band.
+2. The classes of one prefix shingle are a tile, cut in bands of sizes that allow
+   a link.  A small tile gives its pairs, a large one pairs each class with the
+   leader of its band.
 3. Candidate pairs are bounded from above by the bit counts of hashed bitmap
    signatures, then counted exactly on the sorted arrays.
 4. The links so far make groups.  What large tiles have left, pairs of different
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, remove
@@ -38,7 +38,9 @@ FREQUENT = 256  # shingles reported this often come last in the order
 FREQUENT_MOST = 1 << 20  # the list of frequent shingles is no longer than this
 SMALL_TILE = 12  # tiles up to this size give all their pairs at once
 SLOTS = 1 << 22  # bits of the filter of needed documents
-BITS_LEAST, BITS_MOST = 64, 1 << 16  # sizes of a bitmap signature
+BITS_LEAST, BITS_MOST = 64, 1 << 18  # sizes of a bitmap signature
+BITS_EACH = 8  # bits for each shingle at least, so that few share one
+TILE_ROWS = 2048  # members of a tile in one block; larger tiles are pairs of blocks
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # public mixing constants
 _BASE = 0x5851F42D4C957F2D | 1  # odd, so it has an inverse modulo 2 ** 64
@@ -153,8 +155,8 @@ def prefix(found: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> bytes:
-    """Bitmap of hashed shingles with about half of its bits free."""
-    bits = min(BITS_MOST, max(BITS_LEAST, 1 << (2 * len(found) - 1).bit_length()))
+    """Bitmap of hashed shingles, a power of two of bits."""
+    bits = min(BITS_MOST, max(BITS_LEAST, 1 << (BITS_EACH * len(found) - 1).bit_length()))
     out = np.zeros(bits, np.uint8)
     out[(found >> np.uint64(20)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -226,24 +228,25 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, n, digest of the set, prefix keys and bitmap of every document."""
+    """doc_id, text_hash, n, number of frequent shingles, digest of the set, prefix keys and bitmap of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST hashes
-    names = ["doc_id", "text_hash", "n", "digest", "keys", "bits"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+    names = ["doc_id", "text_hash", "n", "common", "digest", "keys", "bits"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent.value
         for batch in batches:
-            n, digest, keys, bits = [], [], [], []
+            n, shared, digest, keys, bits = [], [], [], [], []
             for found in shingle_sets(_texts(batch, 2), k):
                 n.append(len(found))
+                shared.append(overlap_of(common, found))
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 keys.append(prefix(found, common, percent).view(np.int64) if len(found) else [])
                 bits.append(signature(found) if len(found) else None)
-            yield _batch(names, types, batch.column(0), batch.column(1), n, digest, keys, bits)
+            yield _batch(names, types, batch.column(0), batch.column(1), n, shared, digest, keys, bits)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, keys array<long>, bits binary")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, common long, digest binary, keys array<long>, bits binary")
 
 
 def _tile_pairs(n: np.ndarray, nid: np.ndarray, pos: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -261,83 +264,87 @@ def possible(n_a: int, pos_a: int, n_b: int, pos_b: int, percent: int) -> bool:
     return links(n_a, n_b, most, percent)
 
 
+def size_band(percent: int) -> Column:
+    """Band of a size: sizes that allow a link are in one band or in neighbouring ones."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100) or 1.0)).cast("long")
+
+
 def tiles(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of small tiles and of large tiles' first members; members (a, null, shingle, n, pos) of large tiles."""
-    rows = classes.select("nid", "n", F.posexplode("keys").alias("pos", "shingle"))
-    rows = rows.repartition("shingle").sortWithinPartitions("shingle", "n", "nid").select("shingle", "n", "nid", F.col("pos").cast("long").alias("pos"))
-    names, types = ["a", "b", "shingle", "n", "pos"], [pa.int64()] * 5
+    """Pairs (a, b) of small tiles and of the leaders of large ones; members (a, null, shingle) of large tiles.
+
+    A tile is sorted by band, and in a band by the number of frequent shingles:
+    of many variants of one text, that with the fewest changes comes first, and
+    this leader is paired with the others of its band.
+    """
+    rows = classes.select("nid", "n", "common", size_band(percent).alias("band"), F.posexplode("keys").alias("pos", "shingle"))
+    rows = rows.repartition("shingle").sortWithinPartitions("shingle", "band", F.desc("common"), "nid")
+    rows = rows.select("shingle", "band", "n", "nid", F.col("pos").cast("long").alias("pos"))
+    names, types = ["a", "b", "shingle"], [pa.int64()] * 3
 
     def emit(pairs: list[np.ndarray], members: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if pairs:
             both = np.concatenate(pairs)
             both = np.unique(np.sort(both, axis=1), axis=0)
-            none = [None] * len(both)
-            yield _batch(names, types, both[:, 0], both[:, 1], none, none, none)
+            yield _batch(names, types, both[:, 0], both[:, 1], [None] * len(both))
         if members:
             m = np.concatenate(members)
-            yield _batch(names, types, m[:, 2], [None] * len(m), m[:, 0], m[:, 1], m[:, 3])
+            yield _batch(names, types, m[:, 3], [None] * len(m), m[:, 0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 4), np.int64)
-        large: tuple[int, int, int, int] | None = None  # shingle, n, nid, pos of the band's first member of an unfinished large tile
+        held = np.zeros((0, 5), np.int64)
+        leader: np.ndarray | None = None  # of the unfinished large tile's last band
         for batch in batches:
-            new = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            yield from emit(*work(np.concatenate((held, new)), state := {"large": large, "held": None}, False))
-            held, large = state["held"], state["large"]
-        yield from emit(*work(held, {"large": large, "held": None}, True))
-
-    def work(rows: np.ndarray, state: dict, final: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        pairs: list[np.ndarray] = []
-        members: list[np.ndarray] = []
-        state["held"] = rows[:0]
-        if not len(rows):
-            return pairs, members
-        begin = np.flatnonzero(np.diff(rows[:, 0], prepend=rows[0, 0] - 1))
-        if begin[0] != 0:  # the least long has no predecessor
-            begin = np.concatenate(([0], begin))
-        end = np.append(begin[1:], len(rows))
-        if not final and len(rows) - begin[-1] <= SMALL_TILE and not (state["large"] and state["large"][0] == rows[-1, 0]):
-            state["held"] = rows[begin[-1] :]
-            begin, end = begin[:-1], end[:-1]
-        size = end - begin
-        going = state["large"]
-        two = begin[size == 2]
-        if going is not None and len(begin) and rows[begin[0], 0] == going[0]:
-            two = two[two != begin[0]]
-        if len(two):
-            a, b = rows[two], rows[two + 1]
-            most = np.minimum(a[:, 3], b[:, 3]) + 1 + np.minimum(a[:, 1] - a[:, 3], b[:, 1] - b[:, 3]) - 1
-            ok = 100 * most >= percent * (a[:, 1] + b[:, 1] - most)
-            pairs.append(np.stack((a[ok, 2], b[ok, 2]), axis=1))
-        rest = np.flatnonzero(size > 2)
-        if going is not None and len(begin) and rows[begin[0], 0] == going[0] and size[0] <= 2:
-            rest = np.concatenate(([0], rest))
-        for g in rest:
-            tile = rows[begin[g] : end[g]]
-            lead = going if going is not None and going[0] == tile[0, 0] else None
-            if lead is None and len(tile) <= SMALL_TILE:
-                if found := _tile_pairs(tile[:, 1], tile[:, 2], tile[:, 3], percent):
-                    pairs.append(np.array(found, np.int64))
-                continue
-            members.append(tile)
-            at = 0
-            while at < len(tile):
-                if lead is None:
-                    lead = tuple(int(v) for v in tile[at])
-                    at += 1
-                stop = int(np.searchsorted(tile[:, 1], 100 * lead[1] // percent, side="right"))
-                own = tile[at : max(at, stop), 2]
-                if len(own):
-                    pairs.append(np.stack((np.full(len(own), lead[2]), own), axis=1))
-                at = max(at, stop)
-                if at < len(tile):
-                    lead = None
-            state["large"] = lead
-        if state["large"] is not None and state["large"][0] != rows[-1, 0]:
-            state["large"] = None
-        return pairs, members
-
-    return rows.mapInArrow(run, "a long, b long, shingle long, n long, pos long")
+            rows = np.concatenate((held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)))
+            pairs, members, held, leader = _work(rows, leader, False, percent)
+            yield from emit(pairs, members)
+        pairs, members, _, _ = _work(held, leader, True, percent)
+        yield from emit(pairs, members)
+
+    return rows.mapInArrow(run, "a long, b long, shingle long")
+
+
+def _work(rows: np.ndarray, leader: np.ndarray | None, final: bool, percent: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray | None]:
+    """Pairs and members of the tiles in sorted (shingle, band, n, nid, pos) rows; rows to hold, and the leader of a tile that may go on."""
+    pairs: list[np.ndarray] = []
+    members: list[np.ndarray] = []
+    if not len(rows):
+        return pairs, members, rows, leader
+    begin = np.concatenate(([0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1))
+    end = np.append(begin[1:], len(rows))
+    going = leader is not None and leader[0] == rows[0, 0]  # the first tile is the rest of a large one
+    held = rows[:0]
+    if not final and len(rows) - begin[-1] <= SMALL_TILE and not (going and len(begin) == 1):
+        held, begin, end = rows[begin[-1] :], begin[:-1], end[:-1]
+    size = end - begin
+    two = np.flatnonzero(size == 2)
+    rest = np.flatnonzero(size > 2)
+    if going:
+        two, rest = two[two != 0], np.unique(np.append(rest, 0))
+    if len(two):
+        a, b = rows[begin[two]], rows[begin[two] + 1]
+        most = np.minimum(a[:, 4], b[:, 4]) + 1 + np.minimum(a[:, 2] - a[:, 4], b[:, 2] - b[:, 4]) - 1
+        ok = 100 * most >= percent * (a[:, 2] + b[:, 2] - most)
+        pairs.append(np.stack((a[ok, 3], b[ok, 3]), axis=1))
+    last: np.ndarray | None = None
+    for g in rest:
+        tile = rows[begin[g] : end[g]]
+        lead = leader if going and g == 0 else None
+        if lead is None and len(tile) <= SMALL_TILE:
+            if found := _tile_pairs(tile[:, 2], tile[:, 3], tile[:, 4], percent):
+                pairs.append(np.array(found, np.int64))
+            continue
+        members.append(tile)
+        for start in np.concatenate(([0], np.flatnonzero(tile[1:, 1] != tile[:-1, 1]) + 1)):
+            own = tile[start : start + np.searchsorted(tile[start:, 1], tile[start, 1], side="right")]
+            if lead is None or lead[1] != own[0, 1]:
+                lead, own = own[0], own[1:]
+            least, most = np.minimum(own[:, 2], lead[2]), np.maximum(own[:, 2], lead[2])
+            own = own[100 * least >= percent * most]
+            if len(own):
+                pairs.append(np.stack((np.full(len(own), lead[3]), own[:, 3]), axis=1))
+        if g == len(begin) - 1 and not len(held):
+            last = lead
+    return pairs, members, held, last
 
 
 class _Join:
@@ -415,17 +422,88 @@ class _Join:
         return out
 
 
-def _left_over(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in one large tile that are in different groups so far and could link."""
+def _left_over(members: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in one large tile that are in different groups so far and that their bitmaps allow to link.
+
+    A tile that one group fills is done.  Others are compared in blocks of
+    bounded size, a tile of c blocks as the pairs of these; a pair that shares
+    several prefix shingles is given once, by the tile of the first.
+    """
     known = members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100))).cast("long")
-    known = known.withColumn("band", band)
-    left = known.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2)))
-    left = left.select("shingle", "band", F.col("a").alias("x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), F.col("root").alias("root_x"))
-    both = left.join(known, ["shingle", "band"]).filter("root <> root_x and (n_x < n or (n_x = n and x < a))")
-    most = "(least(pos, pos_x) + least(n - pos, n_x - pos_x))"
-    both = both.filter(f"100 * {most} >= {percent} * (n + n_x - {most})")
-    return both.select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
+    open_tiles = known.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
+    blocks = F.ceil(F.col("size") / TILE_ROWS).cast("int")
+    dealt = known.join(open_tiles.select("shingle", blocks.alias("blocks")), "shingle").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("a", "shingle", "root", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    dealt = dealt.join(classes.select(F.col("nid").alias("a"), "n", "keys", "bits"), "a")
+    columns = ["shingle", "one", "two", "own", "n", "a", "root", "keys", "bits"]
+    rows = dealt.select(*columns).repartition("shingle", "one", "two").sortWithinPartitions("shingle", "one", "two", "n", "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _runs(batches, 3):
+            if found := _block_pairs(block, percent):
+                both = np.array(found, np.int64)
+                yield _batch(["a", "b"], [pa.int64()] * 2, both.min(axis=1), both.max(axis=1))
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of the rows that agree in the first ``keys`` columns, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    now: tuple | None = None
+    for batch in batches:
+        ids = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(keys)], axis=1)
+        if not len(ids):
+            continue
+        begin = np.concatenate(([0], np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1))
+        for a, b in zip(begin, np.append(begin[1:], len(ids)), strict=True):
+            key = tuple(ids[a])
+            if held and key != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _block_pairs(block: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Pairs of a block (one tile's rows, sorted by size) that can link and whose first common prefix shingle is the tile's."""
+    shingle, one, two = (block.column(i)[0].as_py() for i in range(3))
+    own, n, nid, root = (block.column(i).to_numpy() for i in range(3, 7))
+    keys = [k.values.to_numpy() for k in block.column(7)]
+    bits = [np.frombuffer(b.as_buffer(), np.uint64) for b in block.column(8)]
+    width = np.array([len(b) for b in bits])
+    stacks = {}  # rows by width of their bitmap
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        stacks[w] = (at, np.stack([bits[i] for i in at]))
+    out = []
+    for i in range(len(n)):
+        stop = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))
+        for w, (at, whole) in stacks.items():
+            low, high = np.searchsorted(at, (i + 1, stop))
+            if low >= high:
+                continue
+            rest = at[low:high]
+            other = whole[low:high]
+            if w > width[i]:  # folded to the narrower width; a larger set's bitmap is never narrower
+                other = np.bitwise_or.reduce(other.reshape(len(rest), -1, width[i]), axis=1)
+            allowed = root[rest] != root[i]
+            if one != two:
+                allowed &= own[rest] != own[i]
+            if not allowed.any():
+                continue
+            rest, other = rest[allowed], other[allowed]
+            only_i = np.bitwise_count(bits[i] & ~other).sum(axis=1, dtype=np.int64)
+            only_j = np.bitwise_count(other & ~bits[i]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(n[i] - only_i, n[rest] - only_j)
+            for j in rest[100 * most >= percent * (n[i] + n[rest] - most)]:
+                common = np.isin(keys[i], keys[j], assume_unique=True)
+                if keys[i][common.argmax()] == shingle:
+                    out.append((int(nid[i]), int(nid[j])))
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -445,7 +523,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     frequent = frequent_shingles(docs, words)
     made = materialize(document_sets(docs, words, percent, frequent), "sets")
     members = materialize(made.select("doc_id", "text_hash", "n", "digest"), "members")
-    picked = made.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "keys", "bits")])
+    picked = made.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "common", "keys", "bits")])
     classes = materialize(picked.withColumn("nid", F.monotonically_increasing_id()), "classes")
     remove(made)
     join = _Join(docs, classes, words, percent)
@@ -453,9 +531,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = materialize(tiles(classes, percent), "tiles")
     first = materialize(found.filter("b is not null").select("a", "b").distinct(), "pairs")
     edges = join.linked(first)
-    large = found.filter("b is null").select("a", "shingle", "n", "pos")
+    large = found.filter("b is null").select("a", "shingle")
     if not large.isEmpty():
-        more = materialize(_left_over(large, connected_components(edges), percent).join(first, ["a", "b"], "left_anti"), "pairs")
+        more = materialize(_left_over(large, connected_components(edges), classes, percent).join(first, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             edges = edges.unionByName(join.linked(more))
         remove(more)
