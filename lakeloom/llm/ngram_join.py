@@ -40,6 +40,7 @@ SMALL_TILE = 12  # tiles up to this size give all their pairs at once
 SLOTS = 1 << 22  # bits of the filter of needed documents
 BITS_LEAST, BITS_MOST = 64, 1 << 18  # sizes of a bitmap signature
 BITS_EACH = 8  # bits for each shingle at least, so that few share one
+LARGE_TILE = 128  # open tiles above this size are compared with bitmaps at hand
 TILE_ROWS = 2048  # members of a tile in one block; larger tiles are pairs of blocks
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # public mixing constants
@@ -270,7 +271,7 @@ def size_band(percent: int) -> Column:
 
 
 def tiles(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of small tiles and of the leaders of large ones; members (a, null, shingle) of large tiles.
+    """Pairs (a, b) of small tiles and of the leaders of large ones; members (a, null, shingle, n, pos) of large tiles.
 
     A tile is sorted by band, and in a band by the number of frequent shingles:
     of many variants of one text, that with the fewest changes comes first, and
@@ -279,16 +280,17 @@ def tiles(classes: DataFrame, percent: int) -> DataFrame:
     rows = classes.select("nid", "n", "common", size_band(percent).alias("band"), F.posexplode("keys").alias("pos", "shingle"))
     rows = rows.repartition("shingle").sortWithinPartitions("shingle", "band", F.desc("common"), "nid")
     rows = rows.select("shingle", "band", "n", "nid", F.col("pos").cast("long").alias("pos"))
-    names, types = ["a", "b", "shingle"], [pa.int64()] * 3
+    names, types = ["a", "b", "shingle", "n", "pos"], [pa.int64()] * 5
 
     def emit(pairs: list[np.ndarray], members: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if pairs:
             both = np.concatenate(pairs)
             both = np.unique(np.sort(both, axis=1), axis=0)
-            yield _batch(names, types, both[:, 0], both[:, 1], [None] * len(both))
+            none = [None] * len(both)
+            yield _batch(names, types, both[:, 0], both[:, 1], none, none, none)
         if members:
             m = np.concatenate(members)
-            yield _batch(names, types, m[:, 3], [None] * len(m), m[:, 0])
+            yield _batch(names, types, m[:, 3], [None] * len(m), m[:, 0], m[:, 2], m[:, 4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 5), np.int64)
@@ -300,7 +302,7 @@ def tiles(classes: DataFrame, percent: int) -> DataFrame:
         pairs, members, _, _ = _work(held, leader, True, percent)
         yield from emit(pairs, members)
 
-    return rows.mapInArrow(run, "a long, b long, shingle long")
+    return rows.mapInArrow(run, "a long, b long, shingle long, n long, pos long")
 
 
 def _work(rows: np.ndarray, leader: np.ndarray | None, final: bool, percent: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray | None]:
@@ -425,14 +427,33 @@ class _Join:
 def _left_over(members: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes in one large tile that are in different groups so far and that their bitmaps allow to link.
 
-    A tile that one group fills is done.  Others are compared in blocks of
-    bounded size, a tile of c blocks as the pairs of these; a pair that shares
-    several prefix shingles is given once, by the tile of the first.
+    A tile that one group fills is done.  Others up to LARGE_TILE members give
+    the pairs that sizes and places of the shingle allow.  Larger ones are
+    compared by bitmaps before a pair is given: in blocks of bounded size, a tile
+    of c blocks as the pairs of these, and a pair that shares several prefix
+    shingles once, in the tile of the first.
     """
     known = members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     open_tiles = known.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
+    known = materialize(known.join(open_tiles.select("shingle", "size"), "shingle"), "open")
+    return _middle(known.filter(F.col("size") <= LARGE_TILE), percent).unionByName(_large(known.filter(F.col("size") > LARGE_TILE), classes, percent)).distinct()
+
+
+def _middle(known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different groups in tiles of limited size, by an equi-join on shingle and size band."""
+    known = known.withColumn("band", size_band(percent))
+    left = known.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2)))
+    left = left.select("shingle", "band", F.col("a").alias("x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), F.col("root").alias("root_x"))
+    both = left.join(known, ["shingle", "band"]).filter("root <> root_x and (n_x < n or (n_x = n and x < a))")
+    most = "(least(pos, pos_x) + least(n - pos, n_x - pos_x))"
+    both = both.filter(f"100 * {most} >= {percent} * (n + n_x - {most})")
+    return both.select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b"))
+
+
+def _large(known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different groups in large tiles that the bitmaps allow to link."""
     blocks = F.ceil(F.col("size") / TILE_ROWS).cast("int")
-    dealt = known.join(open_tiles.select("shingle", blocks.alias("blocks")), "shingle").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    dealt = known.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("a", "shingle", "root", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
     dealt = dealt.join(classes.select(F.col("nid").alias("a"), "n", "keys", "bits"), "a")
@@ -445,7 +466,7 @@ def _left_over(members: DataFrame, roots: DataFrame, classes: DataFrame, percent
                 both = np.array(found, np.int64)
                 yield _batch(["a", "b"], [pa.int64()] * 2, both.min(axis=1), both.max(axis=1))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -531,7 +552,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = materialize(tiles(classes, percent), "tiles")
     first = materialize(found.filter("b is not null").select("a", "b").distinct(), "pairs")
     edges = join.linked(first)
-    large = found.filter("b is null").select("a", "shingle")
+    large = found.filter("b is null").select("a", "shingle", "n", "pos")
     if not large.isEmpty():
         more = materialize(_left_over(large, connected_components(edges), classes, percent).join(first, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():

@@ -151,8 +151,10 @@ def test_ngram_join(docs, k, percent):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(ROWS, k, percent)
 
 
-def test_ngram_join_large_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("large", [0, 1000])
+def test_ngram_join_large_tiles(spark, monkeypatch, large):
     """Tiles above the small size, several blocks, and groups that the leader alone does not find."""
+    monkeypatch.setattr(ngram_join, "LARGE_TILE", large)
     monkeypatch.setattr(ngram_join, "SMALL_TILE", 3)
     monkeypatch.setattr(ngram_join, "TILE_ROWS", 4)
     monkeypatch.setattr(ngram_join, "FREQUENT", 4)
