@@ -88,7 +88,7 @@ class Engine:
 
     # Planning
 
-    def plan(self, table: str, df: DataFrame, config: LoadConfig, primary_key: Sequence[str] = (), assume: Mapping[str, ColumnDef] | None = None, existing: Header | None = None, freeze_keys: bool = False) -> list[Unit]:
+    def plan(self, table: str, df: DataFrame, config: LoadConfig, primary_key: Sequence[str] = (), assume: Mapping[str, ColumnDef] | None = None, existing: Header | None = None, freeze_keys: bool = False, extend_key: bool = False) -> list[Unit]:
         """Units of a load: the table itself or its parts, and its nested tables."""
         pair = dataset_separators(df, config)
         if pair:
@@ -101,7 +101,7 @@ class Engine:
             header = overlay(header, {k: v for k, v in (assume or {}).items() if k in df.columns})
             if config.auto_indexing and not freeze_keys:
                 known = primary_key or (current.primary_keys if current else ())
-                header = predict_indexes(header, df, stats, rows, config, [k for k in known if k in header])
+                header = predict_indexes(header, df, stats, rows, config, [k for k in known if k in header], extend_key and current is None)
         if current and not (config.update_primary_key or primary_key):
             header = Header((n, c.with_(primary=n in current and current[n].primary)) for n, c in header.items())
         header = apply_surrogate(header, current, config)
@@ -135,7 +135,7 @@ class Engine:
             source = df if df.schema[c].dataType.typeName() in ("array", "struct", "map") else reshape.parse_json_column(df, c)
             child = reshape.extract_nested(source, c, keys)
             if child is not None and not child.isEmpty():
-                units += self.plan(f"{table}_{c}", child, config.with_(add_nested=False, nested_tables=()), keys)
+                units += self.plan(f"{table}_{c}", child, config.with_(add_nested=False, nested_tables=()), () if self.store.exists(f"{table}_{c}") else keys, extend_key=True)
         return units
 
     def preview(self, table: str, data: DataFrame | list[Mapping], primary_key: Sequence[str] = (), **options: object) -> list[TablePreview]:

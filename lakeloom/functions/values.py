@@ -86,8 +86,8 @@ def store_value(column: Column, kind: T.DataType, local: str, length: int, scale
     Values that convert to null although present are what the load rejects.
     """
     target = spark_type(local, length, scale)
-    if kind == target:
-        return F.when(~column.isin("", "null"), column) if isinstance(kind, T.StringType) else column
+    if kind == target and not isinstance(kind, T.StringType):
+        return column
     text = as_text(column, kind)
     present = F.when(~text.isin("", "null"), text)
     if local == "boolean":

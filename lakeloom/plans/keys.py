@@ -65,11 +65,11 @@ def _search(df: DataFrame, rows: int, candidates: list[str], required: list[str]
     return None
 
 
-def predict_indexes(header: Header, df: DataFrame | None, stats: dict[str, ColumnStats], rows: int, config: LoadConfig, primary_key: Sequence[str] = ()) -> Header:
+def predict_indexes(header: Header, df: DataFrame | None, stats: dict[str, ColumnStats], rows: int, config: LoadConfig, primary_key: Sequence[str] = (), extend: bool = False) -> Header:
     """Header with ``index`` and ``primary`` set.
 
     Dates and (nearly) unique columns get indexes.  The key is what the caller
-    asks for; else a NOT NULL unique column, best one named id, then an integer,
+    asks for (with more columns if that is not unique and ``extend`` is set); else a NOT NULL unique column, best one named id, then an integer,
     then the shortest name; else the smallest combination of nearly unique or
     categorical NOT NULL columns, with dates as a last resort.
     """
@@ -93,13 +93,13 @@ def predict_indexes(header: Header, df: DataFrame | None, stats: dict[str, Colum
             single.append(name)
         elif (c.pseudounique or c.categorical) and not c.allow_null:
             parts.append(name)
-    if required and all(out[n].unique and not out[n].allow_null for n in required):
+    if required and (not extend or df is None or not rows or is_combination_unique(df, required)):
         return out
-    if not required and single:
+    if single:
         key = next((n for n in single if ID_NAME.search(n)), None) or next((n for n in single if out[n].type in INT_GROUP), None) or min(single, key=len)
         out.change(key, primary=True)
         return out
-    if df is None or not rows or (required and is_combination_unique(df, required)):
+    if df is None or not rows:
         return out
     dates = [n for n, c in out.items() if c.type in DATE_GROUP and not c.allow_null and n not in parts]
     found = _search(df, rows, parts, required, stats, config.max_composite_key_columns)

@@ -47,7 +47,7 @@ def from_rows(spark: SparkSession, rows: list[Mapping]) -> DataFrame:
         if one is not None:
             return one(value)
         if isinstance(value, (dict, list, tuple)):
-            return json.dumps(value, ensure_ascii=False)
+            return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
         return str(value).lower() if isinstance(value, bool) else str(value)
 
     return spark.createDataFrame([tuple(cell(r.get(n), plain[n]) for n in names) for r in rows], T.StructType(fields))
