@@ -49,8 +49,9 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
     return F.shiftleft(F.floor((log_a + F.lit(OFFSET)) * F.lit(float(SCALE))), TAG_BITS).bitwiseOR(tag)
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+def explode_words(df: DataFrame, *keep: str) -> DataFrame:
+    """A row for each word of ``text``, with the columns ``keep``."""
+    return df.select(*keep, F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).filter("word <> ''")
 
 
 def signatures(terms: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -76,7 +77,7 @@ def fingerprint_texts(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id and fingerprint of every whole text; null text is empty.  Rows that repeat doc_id and text give one row each time."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = keyed.withColumn("text_hash", F.unhex(F.md5("text")))
-    terms = keyed.dropDuplicates(["text_hash"]).select("text_hash", F.explode(words(F.col("text"))).alias("word"))
+    terms = explode_words(keyed.dropDuplicates(["text_hash"]), "text_hash")
     counts = terms.groupBy("text_hash", F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("weight"))
     made = signatures(counts, ["text_hash"], samples).withColumn("signature", _short(F.col("signature")))
     return keyed.select("doc_id", "text_hash").join(made, "text_hash", "left").select("doc_id", as_text(F.col("signature")).alias("fingerprint"))
@@ -131,7 +132,7 @@ def compare_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         "k1", "k2", F.posexplode(F.array("shared", F.concat(rest, F.col("tail")), F.concat(rest, F.col("head")), pieces)).alias("part", "text")
     )
     # Part 0 is in both texts, 1 in the own, 2 in the edited one; part 3 carries the digest, as four longs of a kind each.
-    spread = parts.select("k1", "k2", "part", F.explode(words(F.col("text"))).alias("word"))
+    spread = explode_words(parts, "k1", "k2", "part")
     is_digest = F.col("part") == 3
     spread = spread.select(
         "k1",
