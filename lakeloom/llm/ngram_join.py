@@ -39,7 +39,7 @@ FREQUENT_MOST = 1 << 20  # the list of frequent shingles is no longer than this
 SMALL_TILE = 12  # tiles up to this size give all their pairs at once
 SLOTS = 1 << 22  # bits of the filter of needed documents
 BITS_LEAST, BITS_MOST = 64, 1 << 18  # sizes of a bitmap signature
-BITS_EACH = 8  # bits for each shingle at least, so that few share one
+BITS_EACH = 4  # bits for each shingle at least, so that few share one
 LARGE_TILE = 128  # open tiles above this size are compared with bitmaps at hand
 TILE_ROWS = 2048  # members of a tile in one block; larger tiles are pairs of blocks
 
@@ -430,8 +430,8 @@ def _left_over(members: DataFrame, roots: DataFrame, classes: DataFrame, percent
     A tile that one group fills is done.  Others up to LARGE_TILE members give
     the pairs that sizes and places of the shingle allow.  Larger ones are
     compared by bitmaps before a pair is given: in blocks of bounded size, a tile
-    of c blocks as the pairs of these, and a pair that shares several prefix
-    shingles once, in the tile of the first.
+    of c blocks as the pairs of these, and a pair that shares several large
+    tiles once, in the first of them.
     """
     known = members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     open_tiles = known.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
@@ -453,11 +453,12 @@ def _middle(known: DataFrame, percent: int) -> DataFrame:
 def _large(known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of different groups in large tiles that the bitmaps allow to link."""
     blocks = F.ceil(F.col("size") / TILE_ROWS).cast("int")
+    mine = known.groupBy("a").agg(F.sort_array(F.collect_list("shingle")).alias("mine"))  # no more than a prefix
     dealt = known.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("a", "shingle", "root", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-    dealt = dealt.join(classes.select(F.col("nid").alias("a"), "n", "keys", "bits"), "a")
-    columns = ["shingle", "one", "two", "own", "n", "a", "root", "keys", "bits"]
+    dealt = dealt.join(mine, "a").join(classes.select(F.col("nid").alias("a"), "n", "bits"), "a")
+    columns = ["shingle", "one", "two", "own", "n", "a", "root", "mine", "bits"]
     rows = dealt.select(*columns).repartition("shingle", "one", "two").sortWithinPartitions("shingle", "one", "two", "n", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,7 +491,7 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def _block_pairs(block: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Pairs of a block (one tile's rows, sorted by size) that can link and whose first common prefix shingle is the tile's."""
+    """Pairs of a block (one tile's rows, sorted by size) that can link, unless they meet in a large tile of a lesser shingle too."""
     shingle, one, two = (block.column(i)[0].as_py() for i in range(3))
     own, n, nid, root = (block.column(i).to_numpy() for i in range(3, 7))
     keys = [k.values.to_numpy() for k in block.column(7)]
@@ -521,8 +522,7 @@ def _block_pairs(block: pa.Table, percent: int) -> list[tuple[int, int]]:
             only_j = np.bitwise_count(other & ~bits[i]).sum(axis=1, dtype=np.int64)
             most = np.minimum(n[i] - only_i, n[rest] - only_j)
             for j in rest[100 * most >= percent * (n[i] + n[rest] - most)]:
-                common = np.isin(keys[i], keys[j], assume_unique=True)
-                if keys[i][common.argmax()] == shingle:
+                if keys[i][np.isin(keys[i], keys[j], assume_unique=True).argmax()] == shingle:
                     out.append((int(nid[i]), int(nid[j])))
     return out
 
