@@ -43,7 +43,7 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
     r = -F.ln(_uniform(bits, 0, 13) * _uniform(bits, 13, 13))
     c = -F.ln(_uniform(bits, 38, 13) * _uniform(bits, 51, 13))
     beta = _uniform(bits, 26, 12)
-    t = F.floor(log_weight / r + beta)
+    t = F.when(log_weight == 0, F.lit(0).cast("long")).otherwise(F.floor(log_weight / r + beta))  # most words are there once: no division, no second r
     log_a = F.ln(c) - r * (t.cast("double") - beta + F.lit(1.0))
     tag = bits.bitwiseXOR(t * F.lit(7919).cast("long")).bitwiseAND(F.lit((1 << TAG_BITS) - 1).cast("long"))
     return F.shiftleft(F.floor((log_a + F.lit(OFFSET)) * F.lit(float(SCALE))), TAG_BITS).bitwiseOR(tag)
