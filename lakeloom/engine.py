@@ -97,7 +97,7 @@ class Engine:
         if assume and all(c in assume for c in df.columns):
             header = Header({c: assume[c] for c in df.columns})
         else:
-            header, stats, rows = infer_header(df, config)
+            header, stats, rows = infer_header(df, config, voted=True)
             header = overlay(header, {k: v for k, v in (assume or {}).items() if k in df.columns})
             if config.auto_indexing and not freeze_keys:
                 known = primary_key or (current.primary_keys if current else ())
@@ -265,10 +265,11 @@ class Engine:
             keep = [n for n, c in u.header.items() if c.calculated and not c.updated_calculated]
             insert_only = config.insert_type == "INSERT"
             if u is units[0]:
-                matched = staged.select(*keys).join(target.select(*keys), keys, "left_semi").count()
-                total = staged.count()
+                mine, theirs = ([quoted(k) for k in keys] for _ in range(2))
+                there = target.select(*theirs).withColumn("_there", F.lit(1))
+                total, matched = staged.select(*mine).join(there, keys, "left").agg(F.count(F.lit(1)), F.count("_there")).first()
                 result.inserted, result.updated = total - matched, 0 if insert_only else matched
-            if insert_only and result.inserted < staged.count() and u is units[0]:
+            if insert_only and u is units[0] and matched:
                 raise DuplicateKeyError(f"{u.table}: a key of the batch is in the table")
             if config.add_history and (not config.history_tables or u.table in config.history_tables):
                 compared = [c for c in u.header.updatable() if not u.header[c].calculated]

@@ -184,12 +184,15 @@ def stats_frame(df: DataFrame, config: LoadConfig) -> DataFrame:
     )
 
 
-def infer_header(df: DataFrame, config: LoadConfig) -> tuple[Header, dict[str, ColumnStats], int]:
-    """Header of a dataset with flags (I2), its statistics and the number of rows."""
+def infer_header(df: DataFrame, config: LoadConfig, voted: bool = False) -> tuple[Header, dict[str, ColumnStats], int]:
+    """Header of a dataset with flags (I2), its statistics and the number of rows.
+
+    ``voted``: the separators of the configuration, if any, are the dataset's already.
+    """
     if config.boolean_columns:
         check_booleans(df, config)
     chosen = config.with_(thousands_separator=None, decimal_separator=None)
-    pair = dataset_separators(df, config)
+    pair = config.separators if voted else dataset_separators(df, config)
     if pair:
         chosen = config.with_(thousands_separator=pair[0], decimal_separator=pair[1])
     stats, rows = profile(df, chosen)
