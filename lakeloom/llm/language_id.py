@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PER_LANGUAGE = 800  # labelled rows to learn from, for each language
+MOST_SAMPLED = 20_000  # labelled rows in all: with more than 25 languages, each has fewer
 BIGRAMS, TRIGRAMS = 1 << 12, 1 << 13  # buckets of hashed grams
 GRAMS = BIGRAMS + TRIGRAMS
 SLICE_BYTES = 4_000_000  # bytes of text handled at once; a longer single text is handled alone
@@ -135,43 +136,53 @@ class Model:
         return out
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, passes: int = 12, seed: int = 1) -> tuple[np.ndarray, float]:
-    """L2-regularised squared-hinge linear SVM by dual coordinate descent; y is +1 or -1."""
+Row = tuple[np.ndarray, np.ndarray]  # buckets of a text's grams, and their values
+
+
+def linear_svm(rows: list[Row], y: np.ndarray, cost: float = 1.0, passes: int = 12, seed: int = 1) -> tuple[np.ndarray, float]:
+    """L2-regularised squared-hinge linear SVM by dual coordinate descent on sparse rows; y is +1 or -1."""
     rng = np.random.default_rng(seed)
     n = len(y)
     share = {s: cost * n / (2 * max(1, int((y == s).sum()))) for s in (1, -1)}  # balances the classes
-    diag = np.array([1 / (2 * share[int(s)]) for s in y])
-    w, b, alpha = np.zeros(x.shape[1], np.float64), 0.0, np.zeros(n)
-    norm = (x.astype(np.float64) ** 2).sum(axis=1) + 1 + diag
+    diag = [1 / (2 * share[int(s)]) for s in y]
+    w, b, alpha = np.zeros(GRAMS), 0.0, [0.0] * n
+    norm = [float(v @ v) + 1 + d for (_, v), d in zip(rows, diag, strict=True)]
     for _ in range(passes):
         for i in rng.permutation(n):
-            g = y[i] * (x[i] @ w + b) - 1 + diag[i] * alpha[i]
+            ids, v = rows[i]
+            g = y[i] * (v @ w[ids] + b) - 1 + diag[i] * alpha[i]
             new = max(alpha[i] - g / norm[i], 0.0)
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w += step * x[i]
+                w[ids] += step * v
                 b += step
                 alpha[i] = new
     return w, b
 
 
-def fit(rows: list[tuple[str, bytes, bytes, int]]) -> Model:
+def fit(sampled: list[tuple[str, bytes, bytes, int]]) -> Model:
     """Learn from (language, gram buckets, their counts, number of positions) of sampled rows."""
-    languages = sorted({r[0] for r in rows})
+    languages = sorted({r[0] for r in sampled})
     if len(languages) < 2:
         return Model(languages)
-    x = np.zeros((len(rows), GRAMS), np.float32)
-    for i, (_, ids, counts, size) in enumerate(rows):
-        x[i, np.frombuffer(ids, np.uint16)] = np.frombuffer(counts, np.uint32) / np.float32(size)
-    lang = np.array([r[0] for r in rows])
+    rows: list[Row] = []
+    total, squares = np.zeros(GRAMS), np.zeros(GRAMS)
+    for _, ids, counts, size in sampled:
+        at, v = np.frombuffer(ids, np.uint16).astype(np.int32), np.frombuffer(counts, np.uint32) / np.float64(size)
+        total[at] += v
+        squares[at] += v * v
+        rows.append((at, v))
+    n = len(rows)
+    spread = np.sqrt(np.maximum(squares / n - (total / n) ** 2, 0))
+    scale = 1 / (np.sqrt(GRAMS) * (spread + 1e-4))
+    rows = [(at, v * scale[at]) for at, v in rows]
+    lang = np.array([r[0] for r in sampled])
     family = np.array([family_of(v) for v in lang])
-    scale = 1 / (np.sqrt(GRAMS) * (x.std(axis=0) + 1e-4))
-    x *= scale
     families = sorted(set(family))
     columns, bias, pairs = [], [], []
     if len(families) > 1:
         for f in families:
-            w, b = linear_svm(x, np.where(family == f, 1, -1))
+            w, b = linear_svm(rows, np.where(family == f, 1, -1))
             columns.append(w * scale)
             bias.append(b)
     else:
@@ -179,8 +190,8 @@ def fit(rows: list[tuple[str, bytes, bytes, int]]) -> Model:
         bias.append(0.0)
     for f in families:
         for one, two in combinations(sorted(set(lang[family == f])), 2):
-            at = (lang == one) | (lang == two)
-            w, b = linear_svm(x[at], np.where(lang[at] == one, 1, -1))
+            at = np.flatnonzero((lang == one) | (lang == two))
+            w, b = linear_svm([rows[i] for i in at], np.where(lang[at] == one, 1, -1))
             pairs.append((str(one), str(two)))
             columns.append(w * scale)
             bias.append(b)
@@ -219,6 +230,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     if len(counts) == 1:
         return Model(list(counts))
     spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000))
+    per_language = max(1, min(per_language, MOST_SAMPLED // len(counts)))
     limit = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1_000_000, per_language * 1_000_000 // n + 1))])
     chosen = rows.filter(spread < limit[F.col("lang")]).select("lang", "text")
 
