@@ -137,7 +137,7 @@ def predict_type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH t AS (SELECT k % 17 AS g, {TYPE_SQL} AS t FROM {MIXED_SQL} WHERE m IN (k % 17, (k % 17 + 1) % 13)),
+    f"""WITH t AS (SELECT unnest([m, (m + 12) % 13]) AS g, {TYPE_SQL} AS t FROM {MIXED_SQL}),
     s AS (SELECT g, list(DISTINCT t) FILTER (WHERE t IS NOT NULL) AS ts FROM t GROUP BY g),
     n AS (SELECT g, ts, list_has_any(ts, ['varchar', 'text']) AS txt, list_has_any(ts, ['json']) AS js, list_has_any(ts, ['date', 'time', 'datetime', 'datetimetz']) AS dt,
           list_has_any(ts, ['boolean', 'tinyint', 'smallint', 'int', 'bigint', 'decimal', 'exponent']) AS nm FROM s WHERE ts IS NOT NULL)
@@ -147,7 +147,7 @@ def predict_type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHEN list_contains(ts, 'int') THEN 'int' WHEN list_contains(ts, 'smallint') THEN 'smallint' WHEN list_contains(ts, 'tinyint') THEN 'tinyint' ELSE 'boolean' END AS type FROM n"""
 )
 def collate_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = mixed(spark, sf_dir).withColumn("g", F.expr("k % 17")).filter("m in (g, (g + 1) % 13)")
+    df = mixed(spark, sf_dir).withColumn("g", F.explode(F.expr("array(m, (m + 12) % 13)")))  # each group has the values of two kinds
     code = F.create_map(*[F.lit(x) for t, i in CODE.items() for x in (t, 1 << i)])
     mask = F.bit_or(F.element_at(code, typing.value_type(F.col("v"), df.schema["v"].dataType)))
     return df.groupBy("g").agg(mask.alias("mask")).select("g", typing.collate_mask(F.col("mask")).alias("type")).filter("type is not null")
@@ -298,16 +298,17 @@ def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Loading
 
-STAGED_ORDERS = """(SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 10 = 0
-  UNION ALL SELECT o_orderkey + 1000000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 10 = 1)"""
+# A batch as large as the table: rows of even keys are changed ones, the others come under new keys.
+STAGED_ORDERS = """(SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE o_orderkey + 1000000000 END AS o_orderkey, o_custkey, o_orderstatus,
+  CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS o_totalprice, o_orderdate, o_orderpriority FROM orders)"""
 ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     target = table(spark, sf_dir, "orders")
-    changed = target.filter("o_orderkey % 10 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    new = target.filter("o_orderkey % 10 = 1").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000)
-    return target, changed.unionByName(new)
+    key = F.col("o_orderkey")
+    staged = target.withColumn("o_totalprice", F.when(key % 4 == 0, F.col("o_totalprice")).otherwise(F.col("o_totalprice") + 1))
+    return target, staged.withColumn("o_orderkey", F.when(key % 2 == 0, key).otherwise(key + 1_000_000_000))
 
 
 @query(f"SELECT {ORDER_COLUMNS} FROM {STAGED_ORDERS} UNION ALL SELECT {ORDER_COLUMNS} FROM orders o WHERE NOT EXISTS (SELECT 1 FROM {STAGED_ORDERS} s WHERE s.o_orderkey = o.o_orderkey)")
