@@ -13,7 +13,7 @@ from lakeloom.llm.common import materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents whose language can be determined, unchanged."""
+    """Keep the documents whose language the model determines with a sufficient score, unchanged."""
     return language_id.keep_determined(docs)
 
 

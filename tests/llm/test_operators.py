@@ -274,6 +274,17 @@ def test_language_id(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == list(range(600))
 
 
+def test_language_stage_rejects_other_languages(spark):
+    """Texts of letters in no learned language go by their score; those of learned ones stay."""
+    import corpus_pipeline
+
+    words = {"en": "the of and to in that is was for with", "de": "der die und das ist nicht mit auf für ein", "fr": "le la les des et est une dans pour que", "es": "el los las del una por con para como más"}
+    rows = [(i, " ".join(R.choice(words[lang].split()) for _ in range(30)), lang) for i, lang in enumerate(sorted(words) * 60)]
+    other = ["όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια", "人人生而自由在尊严和权利上一律平等", "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan"]
+    df = spark.createDataFrame(rows + [(9000 + i, t, None) for i, t in enumerate(other)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, df, "").collect()) == list(range(len(rows)))
+
+
 def test_language_prediction_ignores_labels(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the of and", "en"), ("der die das", "de")] * 30)]
     model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
