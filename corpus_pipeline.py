@@ -18,8 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take cross-site boilerplate lines out of all texts but the first that has them."""
-    return line_dedup.remove_boilerplate(docs)
+    """Take cross-site boilerplate lines out of all texts but the first that has them, and out of the rows the texts that this empties."""
+    return line_dedup.remove_boilerplate(docs, drop_emptied=True)
 
 
 def join_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

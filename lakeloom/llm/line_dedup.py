@@ -49,11 +49,13 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
     return sure.unionByName(wide.join(exact, "line", "left_semi").select("line", "first_doc"))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", counts: bool = False) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", counts: bool = False, drop_emptied: bool = False) -> DataFrame:
     """All columns of ``docs`` with boilerplate lines taken out of ``text``.
 
-    Every row stays, an emptied one with an empty text.  ``n_chars``, where there
-    is such a column, follows a changed text.  With ``counts``, the columns
+    Every row stays, an emptied one with an empty text.  With ``drop_emptied``,
+    rows go whose text had other than white space and has none left: each of
+    their lines stands in a document with a smaller doc_id.  ``n_chars``, where
+    there is such a column, follows a changed text.  With ``counts``, the columns
     ``n_lines`` and ``n_removed`` are added.  Null text stays null and has no
     lines; blank lines are never boilerplate; null sites don't count; a null
     doc_id is first only where no row with a doc_id has the line.  Rows that
@@ -68,6 +70,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str =
     joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits[held]), "left")
     kept = F.filter(lines_of(F.col("text")), lambda x: ~F.coalesce(F.array_contains(F.col(gone), line_key(x)), F.lit(False)))
     joined = joined.withColumn(lines, F.when(F.col(gone).isNotNull(), kept))
+    if drop_emptied:  # only rows that lost a line: a text that was blank before stays
+        left = F.exists(F.col(lines), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+        joined = joined.filter(F.col(gone).isNull() | left)
     changed = {"text": F.when(F.col(gone).isNotNull() & F.col("text").isNotNull(), F.array_join(F.col(lines), "\n")).otherwise(F.col("text"))}
     out = [changed.get(c, col(c)).alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:

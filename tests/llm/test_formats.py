@@ -138,3 +138,30 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
     ids = {r["doc_id"] for r in packed}
     assert {r[0] for r in rows[:30]} <= ids and not {200, 201} & ids
+
+
+def test_pipeline_leaves_one_of_each_copy_group(spark, tmp_path):
+    """Copies over few and over many sources: one document of each group is left, and none without characters."""
+    import corpus_pipeline
+
+    def text(i):
+        return "\n".join(f"line {j} of text {i} " + " ".join(str(R.random()) for _ in range(9)) for j in range(3))
+
+    rows = [(i, text(i), "en", f"s{i % 6}", 1) for i in range(20)]
+    groups = {100: 3, 200: 6, 300: 40}
+    for first, n in groups.items():
+        copy = text(first)
+        rows += [(first + i, copy + ("\n \n" if i == 1 else ""), "en", f"s{i}", 1) for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    packed = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    assert {r["doc_id"] for r in packed} == {*range(20), *groups} and all(r["n_chars"] for r in packed)
+
+
+def test_line_dedup_drops_only_what_it_empties(spark):
+    from lakeloom.llm import line_dedup
+
+    rows = [(i, "a line of many sites", f"s{i}") for i in range(6)] + [(10, " \n", "s1"), (11, "", "s2"), (12, None, "s3"), (13, "a line of many sites\nand its own", "s4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.remove_boilerplate(docs, drop_emptied=True).collect()}
+    assert got == {0: "a line of many sites", 10: " \n", 11: "", 12: None, 13: "and its own"}
+    assert line_dedup.remove_boilerplate(docs).count() == len(rows)
