@@ -14,7 +14,10 @@ equal sets are one class and are compared once.
    signatures, then counted exactly on the sorted arrays.
 4. The links so far make groups.  What large tiles have left, pairs of different
    groups only, is compared the same way, so that a group of very many near
-   copies costs about one comparison a member and yet no link is lost.
+   copies costs about one comparison a member and yet no group is parted.
+5. If links are asked for, the classes of each group are then compared all with
+   all, in pairs of blocks: a link is always within a group, so that each is
+   counted once.  Only counts leave a block, never pairs.
 """
 
 from __future__ import annotations
@@ -42,6 +45,9 @@ BITS_LEAST, BITS_MOST = 64, 1 << 18  # sizes of a bitmap signature
 BITS_EACH = 4  # bits for each shingle at least, so that few share one
 LARGE_TILE = 128  # open tiles above this size are compared with bitmaps at hand
 TILE_ROWS = 2048  # members of a tile in one block; larger tiles are pairs of blocks
+GROUP_ROWS = 512  # classes of a group in one block, where links are counted
+GROUP_HASHES = 500_000  # and their shingles, so that groups of long texts have smaller blocks
+COLUMNS = 4096  # shingles of a block compared at a time
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # public mixing constants
 _BASE = 0x5851F42D4C957F2D | 1  # odd, so it has an inverse modulo 2 ** 64
@@ -527,9 +533,61 @@ def _block_pairs(block: pa.Table, percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def link_counts(sets: DataFrame, percent: int) -> DataFrame:
+    """(nid, linked): documents of other classes that link to a class, from (nid, root, docs, hashes) of all classes in groups."""
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / GROUP_ROWS, F.sum(F.length("hashes")) / (8 * GROUP_HASHES)))
+    dealt = sets.join(sets.groupBy("root").agg(blocks.cast("int").alias("blocks")), "root")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("root", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "nid", "docs", "hashes")
+    rows = dealt.repartition("root", "one", "two").sortWithinPartitions("root", "one", "two")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _runs(batches, 3):
+            nid, linked = _block_links(block, percent)
+            if len(nid):
+                yield _batch(["nid", "linked"], [pa.int64()] * 2, nid, linked)
+
+    return rows.mapInArrow(run, "nid long, linked long").groupBy("nid").agg(F.sum("linked").alias("linked"))
+
+
+def _block_links(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of a block (own, nid, docs and hashes from column 3 on) and the documents that link to each, by exact overlaps."""
+    one, two = block.column(1)[0].as_py(), block.column(2)[0].as_py()
+    own, nid, docs = (block.column(i).to_numpy() for i in range(3, 6))
+    found = [np.frombuffer(h.as_buffer(), np.uint64) for h in block.column(6)]
+    n = np.array([len(x) for x in found])
+    # Incidence of the shingles that more than one class has, some columns at a time; counts below 2 ** 24 are exact in float32.
+    values, at, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(n)), n), times[at] > 1
+    column = (np.cumsum(times > 1) - 1)[at[shared]]
+    row = row[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    a, b = np.flatnonzero(own == one), np.flatnonzero(own == two)  # the same rows, or those of two blocks
+    overlap = np.zeros((len(a), len(b)), np.int64)
+    last = int((times > 1).sum())
+    for start in range(0, last, COLUMNS):
+        low, high = np.searchsorted(column, (start, start + COLUMNS))
+        there = np.zeros((len(n), min(COLUMNS, last - start)), np.float32)
+        there[row[low:high], column[low:high] - start] = 1
+        overlap += (there[a] @ there[b].T).astype(np.int64)
+    linked = 100 * overlap >= percent * (n[a][:, None] + n[b] - overlap)
+    counts = np.zeros(len(n), np.int64)
+    if one == two:
+        np.fill_diagonal(linked, False)
+        counts[a] = linked @ docs[b]
+    else:
+        counts[a], counts[b] = linked @ docs[b], linked.T @ docs[a]
+    return nid[counts > 0], counts[counts > 0]
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, with_links: bool = False) -> DataFrame:
     """Groups of documents whose shingle sets are alike: doc_id, n_shingles, component_id, text_hash, class_id.
 
+    ``with_links`` adds n_links, the number of other rows that link to a row
+    (rows of its own class too), from an exact pass over all groups.
+
     Words are runs of other than ASCII white space, A-Z as a-z; a set is the
     distinct shingles of ``words`` words (with fewer words, all of them as one).
     Two documents link if 100 * intersection >= percent * union; component_id is
@@ -544,7 +602,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     frequent = frequent_shingles(docs, words)
     made = materialize(document_sets(docs, words, percent, frequent), "sets")
     members = materialize(made.select("doc_id", "text_hash", "n", "digest"), "members")
-    picked = made.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "common", "keys", "bits")])
+    picked = made.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs"), *[F.first(c).alias(c) for c in ("n", "common", "keys", "bits")])
     classes = materialize(picked.withColumn("nid", F.monotonically_increasing_id()), "classes")
     remove(made)
     join = _Join(docs, classes, words, percent)
@@ -564,6 +622,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = classes.select("digest", "nid", "rep").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     least = reps.groupBy("root").agg(F.min("rep").alias("component"))
     classed = reps.join(least, "root").select("digest", "nid", "component")
+    count = []
+    if with_links:
+        sets = materialize(join.sets(roots.select(F.col("node").alias("nid"))), "sets")
+        sets = sets.join(roots.withColumnRenamed("node", "nid"), "nid").join(classes.select("nid", "docs"), "nid").select("nid", "root", "docs", "hashes")
+        counted = materialize(link_counts(sets, percent), "link_counts")
+        classed = classed.join(classes.select("nid", "docs"), "nid").join(counted, "nid", "left")
+        classed = classed.withColumn("n_links", F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).drop("docs", "linked")
+        count = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
     out = members.join(classed, "digest", "left")
     return out.select(
         "doc_id",
@@ -571,6 +637,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         F.when(F.col("nid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         "text_hash",
         F.col("nid").alias("class_id"),
+        *count,
     )
 
 

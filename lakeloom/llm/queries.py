@@ -30,7 +30,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=85, with_links=True).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

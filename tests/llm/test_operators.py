@@ -172,6 +172,37 @@ def test_ngram_join_large_tiles(spark, monkeypatch, large):
     assert len({w[2] for w in want}) > 1
 
 
+def brute_links(rows: list[tuple], k: int, percent: int) -> list[tuple]:
+    sets = [brute_sets(r[1], k) for r in rows]
+    like = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+    return sorted(((r[0], sum(1 for j, b in enumerate(sets) if j != i and a and b and like(a, b))) for i, (r, a) in enumerate(zip(rows, sets, strict=True))), key=str)
+
+
+def test_ngram_join_counts_every_link(spark, docs, monkeypatch):
+    """Links within groups that single comparisons have joined already count too, in one block and in several."""
+    from lakeloom.llm.queries import op3_ngram_jaccard
+
+    monkeypatch.setattr(ngram_join, "SMALL_TILE", 3)
+    got = ngram_join.near_duplicates(docs, 4, 85, with_links=True).collect()
+    assert sorted(((r["doc_id"], r["n_links"]) for r in got), key=str) == brute_links(ROWS, 4, 85)
+    base = prose(60).split()
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(i % 4):
+            words[R.randrange(len(words))] = R.choice(VOCABULARY)
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", 7)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 16)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr("lakeloom.llm.queries.table", lambda *_: df)
+    got = op3_ngram_jaccard(spark, "").collect()
+    assert sorted(((r["doc_id"], r["n_links"]) for r in got), key=str) == brute_links(rows, 4, 85)
+    of = {r["doc_id"]: r["class_id"] for r in got}
+    sets = {r[0]: brute_sets(r[1], 4) for r in rows}
+    assert all((of[a] == of[b]) == (sets[a] == sets[b]) for a in of for b in of)
+
+
 def test_keep_one(docs):
     kept = ngram_join.keep_one(docs).collect()
     want = collections.Counter()
