@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_scopes = threading.local()  # paths written within each settle() under way
 ROW_IN_PARTITION_BITS = 33  # fixed by Spark's monotonically_increasing_id()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor share, from ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (tests, a single machine) is a
-    temporary folder made and set.
+    Only where the session does not name one and all runs on this machine is a
+    temporary folder made and set; on a cluster no such folder is shared, so a
+    session without the setting is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|\Z)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lakeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,9 +46,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
+    if scopes := getattr(_scopes, "open", None):
+        scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Materialize what ``make`` returns, then delete the intermediate results written on the way there."""
+    scopes = _scopes.__dict__.setdefault("open", [])
+    scopes.append([])
+    try:
+        out = materialize(make(), name)
+    except BaseException:
+        scopes.pop()
+        raise
+    *inner, kept = scopes.pop()
+    for path in inner:
+        _delete(spark, path)
+    if scopes:
+        scopes[-1].append(kept)
+    return out
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """A session setting for the jobs that run within the block."""
@@ -59,12 +84,13 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 
 def remove(df: DataFrame) -> None:
     """Delete the files behind a materialized frame that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def col(name: str) -> Column:
