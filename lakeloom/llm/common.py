@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..sources.scratch import col, materialize, new_path, number_rows, remove, setting, shared_dir
+from ..sources.scratch import col, materialize, new_path, number_rows, remove, setting, settle, shared_dir
 
-__all__ = ["col", "fresh", "materialize", "new_path", "number_rows", "remove", "setting", "shared_dir"]
+__all__ = ["col", "fresh", "materialize", "new_path", "number_rows", "remove", "setting", "settle", "shared_dir"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -23,7 +23,6 @@ equal sets are one class and are compared once.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove
+from .common import materialize, remove, settle
 from .components import connected_components
 
 SLICE_BYTES = 1_500_000  # bytes of text hashed at once; longer texts are hashed in parts
@@ -40,7 +39,9 @@ LOCAL_MIN = 4  # counts below this are not reported by a task
 FREQUENT = 256  # shingles reported this often come last in the order
 FREQUENT_MOST = 1 << 20  # the list of frequent shingles is no longer than this
 SMALL_TILE = 12  # tiles up to this size give all their pairs at once
-SLOTS = 1 << 22  # bits of the filter of needed documents
+HOT_LEAST = 2048  # and with more than so many rows
+BANDS_MOST = 256  # size bands
+FILTER_LEAST, FILTER_MOST = 1 << 16, 1 << 26  # bits of the filter of documents whose texts are needed; beyond its use all are read
 BITS_LEAST, BITS_MOST = 64, 1 << 18  # sizes of a bitmap signature
 BITS_EACH = 4  # bits for each shingle at least, so that few share one
 LARGE_TILE = 128  # open tiles above this size are compared with bitmaps at hand
@@ -48,10 +49,10 @@ TILE_ROWS = 2048  # members of a tile in one block; larger tiles are pairs of bl
 GROUP_ROWS = 512  # classes of a group in one block, where links are counted
 GROUP_HASHES = 500_000  # and their shingles, so that groups of long texts have smaller blocks
 COLUMNS = 4096  # shingles of a block compared at a time
+LONG_WORD = 128  # bytes of a word that are mixed eight at a time; a cryptographic hash takes the rest
+HOT_TILES = 1024  # tiles with more than one in so many of all prefix shingles are dealt over many tasks
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # public mixing constants
-_BASE = 0x5851F42D4C957F2D | 1  # odd, so it has an inverse modulo 2 ** 64
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,37 +62,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """A value for each byte, with A-Z as a-z, and whether it is white space."""
-    value = _mix(np.arange(1, 257, dtype=np.uint64) * _M1)
-    value[65:91] = value[97:123]
-    white = np.zeros(256, bool)
-    white[[32, *range(9, 14)]] = True
-    return value, white
-
-
-_VALUE, _WHITE = _tables()
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def _power(size: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < size:
-        with np.errstate(over="ignore"):
-            _powers = tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)))) for base in (_BASE, _INVERSE))
-    return _powers
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
+_WHITE = np.zeros(256, bool)
+_WHITE[[32, *range(9, 14)]] = True
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)  # mask of the first n of 8 bytes
 
 
 def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of ``data``: a polynomial in its bytes, from prefix sums."""
-    raw = np.frombuffer(data, np.uint8)
-    inside = ~_WHITE[raw]
-    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    start, end = edge[::2], edge[1::2]
-    power, inverse = _power(len(raw) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUE[raw] * power[: len(raw)])))
-    value = (sums[end] - sums[start]) * inverse[start]
-    return _mix(value + (end - start).astype(np.uint64) * _M1), start
+    """Hash and start of every word of ``data``: its length and its bytes, eight at a time, each mixed into what came before.
+
+    No step is linear in the bytes over the whole word, so words of a regular
+    structure collide no more than others.
+    """
+    low = np.zeros(len(data) + 8, np.uint8)
+    low[: len(data)] = _LOWER[np.frombuffer(data, np.uint8)]
+    edge = np.flatnonzero(np.diff(~_WHITE[low[: len(data)]], prepend=False, append=False))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray(len(data) + 1, "<u8", low.data, strides=(1,))  # the eight bytes from each place on
+    out = _mix(size.astype(np.uint64) * _M1)
+    rest = np.arange(len(start))
+    for step in range(0, LONG_WORD, 8):
+        rest = rest[size[rest] > step]
+        if not len(rest):
+            break
+        out[rest] = _mix(out[rest] * _M3 + (eight[start[rest] + step] & _KEPT[np.minimum(size[rest] - step, 8)]))
+    for i in rest[size[rest] > LONG_WORD]:
+        tail = low[start[i] + LONG_WORD : start[i] + size[i]].tobytes()
+        out[i] = _mix(out[i : i + 1] * _M3 + np.frombuffer(hashlib.blake2b(tail, digest_size=8).digest(), "<u8"))[0]
+    return out, start
 
 
 def _long_words(text: bytes) -> np.ndarray:
@@ -200,33 +199,54 @@ def _batch(names: list[str], types: list[pa.DataType], *columns: object) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Hashes of very frequent shingles, counted over all texts.
+def scan(docs: DataFrame, k: int) -> DataFrame:
+    """One pass over all texts: a row for each document (doc_id, text_hash, n, digest of its set), and counts of shingles (shingle, seen).
 
-    Each task reports what it sees LOCAL_MIN times in COUNTED shingles or more;
-    the sums decide.  Only the order of shingles depends on the list, never the
-    result, and FREQUENT_MOST bounds it: the threshold rises with the total.
+    Each task reports the shingles that it sees LOCAL_MIN times in COUNTED or more.
     """
+    names = ["doc_id", "text_hash", "n", "digest", "shingle", "seen"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def report(counted: list[np.ndarray]) -> pa.RecordBatch:
         values, n = np.unique(np.concatenate(counted), return_counts=True)
         keep = n >= LOCAL_MIN
-        return _batch(["shingle", "n"], [pa.int64(), pa.int64()], values[keep].view(np.int64), n[keep])
+        none = [None] * int(keep.sum())
+        return _batch(names, types, none, none, none, none, values[keep].view(np.int64), n[keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for found in shingle_sets(_texts(batch, 0), k):
+            n, digest = [], []
+            for found in shingle_sets(_texts(batch, 2), k):
+                n.append(len(found))
+                digest.append(set_digest(found))
                 held.append(found)
                 size += len(found)
                 if size >= COUNTED:
                     yield report(held)
                     held, size = [], 0
+            none = [None] * len(n)
+            yield _batch(names, types, batch.column(0), batch.column(1), n, digest, none, none)
         if held:
             yield report(held)
 
-    counts = materialize(docs.select(F.col("text").cast("string")).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT), "frequent")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, digest binary, shingle long, seen long")
+
+
+def set_digest(found: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+
+
+def frequent_shingles(scanned: DataFrame) -> np.ndarray:
+    """Hashes of very frequent shingles, from the counts of :func:`scan`.
+
+    Only the order of shingles depends on the list, never the result, and
+    FREQUENT_MOST bounds it: the threshold rises with the total.
+    """
+    counts = scanned.filter("shingle is not null").groupBy("shingle").agg(F.sum("seen").alias("n")).filter(F.col("n") >= FREQUENT)
+    counts = materialize(counts, "frequent")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     kept = counts.filter(F.col("n") >= max(FREQUENT, -(-total // FREQUENT_MOST)))
     out = np.array([r[0] for r in kept.select("shingle").toLocalIterator()], np.int64).view(np.uint64)
@@ -234,26 +254,46 @@ def frequent_shingles(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(out)
 
 
-def document_sets(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, n, number of frequent shingles, digest of the set, prefix keys and bitmap of every document."""
+def band_starts(percent: int) -> np.ndarray:
+    """Least size of each band: a size links with none above the band next to its own (exact, in integers)."""
+    out = [1]
+    while out[-1] < 1 << 31:
+        out.append(max(out[-1] + 1, 100 * out[-1] // percent + 1))
+        if len(out) > BANDS_MOST:  # of narrow bands, as above 99 percent, several are one
+            return band_starts(percent - 1)
+    return np.array(out, np.int64)
+
+
+def chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in ``ids`` (rep), and of some others: a filter whose size is bounded spares the rest the work."""
+    slots = min(FILTER_MOST, max(FILTER_LEAST, 1 << (16 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)) + F.lit(1)
+    words = ids.select(F.col("rep").alias("doc_id")).groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("set"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("slot", slot)
+    rows = rows.join(F.broadcast(words), F.bitmap_bucket_number("slot") == F.col("bucket"))  # at most FILTER_MOST bits
+    rows = rows.withColumn("at", F.bitmap_bit_position("slot").cast("int"))
+    return rows.filter("shiftright(cast(conv(hex(substring(`set`, at div 8 + 1, 1)), 16, 10) as int), at % 8) % 2 = 1").select("doc_id", "text")
+
+
+def class_rows(docs: DataFrame, classes: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """digest, number of frequent shingles, size band, prefix keys and bitmap of each class, from the text of its first document."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT_MOST hashes
-    names = ["doc_id", "text_hash", "n", "common", "digest", "keys", "bits"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+    starts = band_starts(percent)
+    names = ["digest", "common", "band", "keys", "bits"]
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent.value
         for batch in batches:
-            n, shared, digest, keys, bits = [], [], [], [], []
-            for found in shingle_sets(_texts(batch, 2), k):
-                n.append(len(found))
-                shared.append(overlap_of(common, found))
-                digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                keys.append(prefix(found, common, percent).view(np.int64) if len(found) else [])
-                bits.append(signature(found) if len(found) else None)
-            yield _batch(names, types, batch.column(0), batch.column(1), n, shared, digest, keys, bits)
+            sets = [x for x in shingle_sets(_texts(batch, 1), k) if len(x)]
+            yield _batch(
+                names, types, [set_digest(x) for x in sets], [overlap_of(common, x) for x in sets], np.searchsorted(starts, [len(x) for x in sets], "right"),
+                [prefix(x, common, percent).view(np.int64) for x in sets], [signature(x) for x in sets],
+            )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, common long, digest binary, keys array<long>, bits binary")
+    made = chosen_texts(docs, classes).mapInArrow(run, "digest binary, common long, band long, keys array<long>, bits binary")
+    # Rows of one digest are equal, so that each task sends one of them at most.
+    return made.groupBy("digest").agg(*[F.first(c).alias(c) for c in ("common", "band", "keys", "bits")])
 
 
 def _tile_pairs(n: np.ndarray, nid: np.ndarray, pos: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -271,32 +311,42 @@ def possible(n_a: int, pos_a: int, n_b: int, pos_b: int, percent: int) -> bool:
     return links(n_a, n_b, most, percent)
 
 
-def size_band(percent: int) -> Column:
-    """Band of a size: sizes that allow a link are in one band or in neighbouring ones."""
-    return F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100) or 1.0)).cast("long")
+def hot_shingles(rows: DataFrame) -> DataFrame | None:
+    """Shingles of tiles with more than one in HOT_TILES of all rows, found by a sketch of heavy hitters; HOT_TILES rows at most."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(shingle, {HOT_TILES}, {HOT_TILES * 16})").alias("top")).first()
+    least = max(HOT_LEAST, found["n"] // HOT_TILES)
+    hot = [(t["item"],) for t in found["top"] or [] if t["count"] > least]
+    return rows.sparkSession.createDataFrame(hot, "shingle long") if hot else None
 
 
-def tiles(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of small tiles and of the leaders of large ones; members (a, null, shingle, n, pos) of large tiles.
+def tiles(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b) of small tiles and of the leaders of large ones, and members (a, null, shingle, band, n, pos) of large tiles; and those of hot tiles.
 
     A tile is sorted by band, and in a band by the number of frequent shingles:
     of many variants of one text, that with the fewest changes comes first, and
-    this leader is paired with the others of its band.
+    this leader is paired with the others of its band.  A hot tile is in no one
+    task: its leaders are found by aggregation and sent to its rows.
     """
-    rows = classes.select("nid", "n", "common", size_band(percent).alias("band"), F.posexplode("keys").alias("pos", "shingle"))
+    rows = classes.select("nid", "n", "common", "band", F.posexplode("keys").alias("pos", "shingle")).withColumn("pos", F.col("pos").cast("long"))
+    hot = hot_shingles(rows)
+    large = None
+    if hot is not None:
+        hot = F.broadcast(hot)  # at most HOT_TILES rows
+        large = _hot_tiles(rows.join(hot, "shingle"), percent)
+        rows = rows.join(hot, "shingle", "left_anti")
     rows = rows.repartition("shingle").sortWithinPartitions("shingle", "band", F.desc("common"), "nid")
-    rows = rows.select("shingle", "band", "n", "nid", F.col("pos").cast("long").alias("pos"))
-    names, types = ["a", "b", "shingle", "n", "pos"], [pa.int64()] * 5
+    rows = rows.select("shingle", "band", "n", "nid", "pos")
+    names, types = ["a", "b", "shingle", "band", "n", "pos"], [pa.int64()] * 6
 
     def emit(pairs: list[np.ndarray], members: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if pairs:
             both = np.concatenate(pairs)
             both = np.unique(np.sort(both, axis=1), axis=0)
             none = [None] * len(both)
-            yield _batch(names, types, both[:, 0], both[:, 1], none, none, none)
+            yield _batch(names, types, both[:, 0], both[:, 1], none, none, none, none)
         if members:
             m = np.concatenate(members)
-            yield _batch(names, types, m[:, 3], [None] * len(m), m[:, 0], m[:, 2], m[:, 4])
+            yield _batch(names, types, m[:, 3], [None] * len(m), m[:, 0], m[:, 1], m[:, 2], m[:, 4])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 5), np.int64)
@@ -308,7 +358,18 @@ def tiles(classes: DataFrame, percent: int) -> DataFrame:
         pairs, members, _, _ = _work(held, leader, True, percent)
         yield from emit(pairs, members)
 
-    return rows.mapInArrow(run, "a long, b long, shingle long, n long, pos long")
+    return rows.mapInArrow(run, "a long, b long, shingle long, band long, n long, pos long"), large
+
+
+def _hot_tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """Members of hot tiles and the pairs with their leaders, as :func:`tiles` gives them."""
+    lead = rows.groupBy("shingle", "band").agg(F.min(F.struct((-F.col("common")).alias("few"), "nid", "n")).alias("lead"))
+    lead = F.broadcast(lead.select(F.col("shingle").alias("_s"), F.col("band").alias("_b"), F.col("lead.nid").alias("one"), F.col("lead.n").alias("n_one")))  # HOT_TILES times bands at most
+    paired = rows.join(lead, F.expr("shingle = _s and band = _b and nid <> one")).filter(f"100 * least(n, n_one) >= {percent} * greatest(n, n_one)")
+    none = F.lit(None).cast("long")
+    pairs = paired.select(F.least("nid", "one").alias("a"), F.greatest("nid", "one").alias("b")).distinct()
+    pairs = pairs.select("a", "b", none.alias("shingle"), none.alias("band"), none.alias("n"), none.alias("pos"))
+    return rows.select(F.col("nid").alias("a"), none.alias("b"), "shingle", "band", "n", "pos").unionByName(pairs)
 
 
 def _work(rows: np.ndarray, leader: np.ndarray | None, final: bool, percent: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray | None]:
@@ -378,33 +439,18 @@ class _Join:
         return joined.mapInArrow(run, "a long, b long")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
-        """(nid, hashes) of the classes in ``nodes``, from the text of each class's first document.
-
-        A filter of SLOTS bits, whatever the number of documents, spares most
-        other texts the work; what it lets through too much is joined away.
-        """
+        """(nid, hashes) of the classes in ``nodes``, from the text of each class's first document."""
         k = self.k
-        need = nodes.join(self.classes.select("nid", "digest", "rep"), "nid")
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
-        words = need.select(F.col("rep").alias("doc_id")).select(F.expr("0").alias("z"), slot.alias("slot"))
-        words = words.groupBy(F.expr("slot div 32").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("set"))
-        rows = self.docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("slot", slot)
-        rows = rows.join(F.broadcast(words), F.expr("slot div 32 = word")).filter("shiftright(`set`, cast(slot % 32 as int)) % 2 = 1").select("doc_id", "text")
+        need = materialize(nodes.join(self.classes.select("nid", "digest", "rep"), "nid"), "need")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0).to_pylist()
-                out = []
-                for doc_id, found in zip(ids, shingle_sets(_texts(batch, 1), k), strict=True):
-                    if len(found):
-                        data = found.tobytes()
-                        out.append((doc_id, hashlib.blake2b(data, digest_size=16).digest(), data))
-                if out:
-                    yield _batch(["doc_id", "digest", "hashes"], [pa.int64(), pa.binary(), pa.binary()], *map(list, zip(*out, strict=True)))
-
-        made = rows.mapInArrow(run, "doc_id long, digest binary, hashes binary")
-        made = made.join(need, "digest").filter("doc_id <=> rep").select("nid", "hashes")
-        return made.groupBy("nid").agg(F.first("hashes").alias("hashes"))  # a document may be there more than once
+                sets = [x for x in shingle_sets(_texts(batch, 1), k) if len(x)]
+                yield _batch(["digest", "hashes"], [pa.binary()] * 2, [set_digest(x) for x in sets], [x.tobytes() for x in sets])
+
+        made = chosen_texts(self.docs, need).mapInArrow(run, "digest binary, hashes binary")
+        made = made.groupBy("digest").agg(F.first("hashes").alias("hashes"))  # equal in all rows of a digest
+        return made.join(need.select("digest", "nid"), "digest").select("nid", "hashes")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link: bounded by bitmaps, then counted on sorted arrays."""
@@ -430,45 +476,56 @@ class _Join:
         return out
 
 
-def _left_over(members: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _left_over(members: DataFrame, hot: DataFrame | None, roots: DataFrame, percent: int, classes: DataFrame) -> DataFrame:
     """Pairs of classes in one large tile that are in different groups so far and that their bitmaps allow to link.
 
     A tile that one group fills is done.  Others up to LARGE_TILE members give
     the pairs that sizes and places of the shingle allow.  Larger ones are
-    compared by bitmaps before a pair is given: in blocks of bounded size, a tile
-    of c blocks as the pairs of these, and a pair that shares several large
-    tiles once, in the first of them.
+    compared by bitmaps before a pair is given, in cells of two blocks each.
     """
-    known = members.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    open_tiles = known.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
-    known = materialize(known.join(open_tiles.select("shingle", "size"), "shingle"), "open")
+
+    def opened(rows: DataFrame, send: bool) -> DataFrame:
+        known = rows.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+        blocks = F.struct("band", F.ceil(F.col("size") / TILE_ROWS).cast("int").alias("blocks"))
+        bands = known.groupBy("shingle", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
+        whole = bands.groupBy("shingle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("size").alias("size"), F.map_from_entries(F.collect_list(blocks)).alias("blocks"))
+        whole = whole.filter("lo < hi").select("shingle", "size", "blocks")
+        return known.join(F.broadcast(whole) if send else whole, "shingle")  # of hot tiles there are HOT_TILES at most
+
+    known = opened(members, False) if hot is None else opened(members, False).unionByName(opened(hot, True))
+    known = materialize(known, "open")
     return _middle(known.filter(F.col("size") <= LARGE_TILE), percent).unionByName(_large(known.filter(F.col("size") > LARGE_TILE), classes, percent)).distinct()
 
 
 def _middle(known: DataFrame, percent: int) -> DataFrame:
     """Pairs of different groups in tiles of limited size, by an equi-join on shingle and size band."""
-    known = known.withColumn("band", size_band(percent))
-    left = known.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1, F.col("band") + 2)))
+    left = known.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     left = left.select("shingle", "band", F.col("a").alias("x"), F.col("n").alias("n_x"), F.col("pos").alias("pos_x"), F.col("root").alias("root_x"))
-    both = left.join(known, ["shingle", "band"]).filter("root <> root_x and (n_x < n or (n_x = n and x < a))")
+    both = left.join(known.drop("blocks"), ["shingle", "band"]).filter("root <> root_x and (n_x < n or (n_x = n and x < a))")
     most = "(least(pos, pos_x) + least(n - pos, n_x - pos_x))"
     both = both.filter(f"100 * {most} >= {percent} * (n + n_x - {most})")
     return both.select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b"))
 
 
 def _large(known: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different groups in large tiles that the bitmaps allow to link."""
-    blocks = F.ceil(F.col("size") / TILE_ROWS).cast("int")
-    mine = known.groupBy("a").agg(F.sort_array(F.collect_list("shingle")).alias("mine"))  # no more than a prefix
-    dealt = known.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("a", "shingle", "root", "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-    dealt = dealt.join(mine, "a").join(classes.select(F.col("nid").alias("a"), "n", "bits"), "a")
-    columns = ["shingle", "one", "two", "own", "n", "a", "root", "mine", "bits"]
-    rows = dealt.select(*columns).repartition("shingle", "one", "two").sortWithinPartitions("shingle", "one", "two", "n", "a")
+    """Pairs of different groups in large tiles that the bitmaps allow to link.
+
+    Each band of a tile is in blocks of bounded size; a cell is a block with
+    itself, with another of its band, or with one of the next band.
+    """
+    own = F.pmod(F.xxhash64("a"), F.element_at("blocks", F.col("band"))).cast("int")
+    cells = F.expr(
+        "flatten(transform(array(-1, 0, 1), d -> transform(filter(sequence(0, coalesce(blocks[band + d], 1) - 1), j -> blocks[band + d] is not null), j -> "
+        "case when d > 0 or (d = 0 and own <= j) then named_struct('lo', band, 'one', own, 'hi', band + d, 'two', j, 'side', 0) "
+        "else named_struct('lo', band + d, 'one', j, 'hi', band, 'two', own, 'side', 1) end)))"
+    )
+    dealt = known.withColumn("own", own).withColumn("cell", F.explode(cells)).select("a", "n", "root", "shingle", "cell.*")
+    dealt = dealt.join(classes.select(F.col("nid").alias("a"), "bits"), "a")
+    cell = ["shingle", "lo", "one", "hi", "two"]
+    rows = dealt.select(*cell, "side", "n", "a", "root", "bits").repartition(*cell).sortWithinPartitions(*cell, "n", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _runs(batches, 3):
+        for block in _runs(batches, 5):
             if found := _block_pairs(block, percent):
                 both = np.array(found, np.int64)
                 yield _batch(["a", "b"], [pa.int64()] * 2, both.min(axis=1), both.max(axis=1))
@@ -497,11 +554,11 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 
 
 def _block_pairs(block: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Pairs of a block (one tile's rows, sorted by size) that can link, unless they meet in a large tile of a lesser shingle too."""
-    shingle, one, two = (block.column(i)[0].as_py() for i in range(3))
-    own, n, nid, root = (block.column(i).to_numpy() for i in range(3, 7))
-    keys = [k.values.to_numpy() for k in block.column(7)]
-    bits = [np.frombuffer(b.as_buffer(), np.uint64) for b in block.column(8)]
+    """Pairs of a cell (its rows sorted by size; side, n, class, group and bitmap from column 5 on) that can link."""
+    lo, one, hi, two = (block.column(i)[0].as_py() for i in range(1, 5))
+    alone = (lo, one) == (hi, two)
+    side, n, nid, root = (block.column(i).to_numpy() for i in range(5, 9))
+    bits = [np.frombuffer(b.as_buffer(), np.uint64) for b in block.column(9)]
     width = np.array([len(b) for b in bits])
     stacks = {}  # rows by width of their bitmap
     for w in np.unique(width):
@@ -516,20 +573,18 @@ def _block_pairs(block: pa.Table, percent: int) -> list[tuple[int, int]]:
                 continue
             rest = at[low:high]
             other = whole[low:high]
-            if w > width[i]:  # folded to the narrower width; a larger set's bitmap is never narrower
-                other = np.bitwise_or.reduce(other.reshape(len(rest), -1, width[i]), axis=1)
             allowed = root[rest] != root[i]
-            if one != two:
-                allowed &= own[rest] != own[i]
+            if not alone:
+                allowed &= side[rest] != side[i]
             if not allowed.any():
                 continue
             rest, other = rest[allowed], other[allowed]
+            if w > width[i]:  # folded to the narrower width; a larger set's bitmap is never narrower
+                other = np.bitwise_or.reduce(other.reshape(len(rest), -1, width[i]), axis=1)
             only_i = np.bitwise_count(bits[i] & ~other).sum(axis=1, dtype=np.int64)
             only_j = np.bitwise_count(other & ~bits[i]).sum(axis=1, dtype=np.int64)
             most = np.minimum(n[i] - only_i, n[rest] - only_j)
-            for j in rest[100 * most >= percent * (n[i] + n[rest] - most)]:
-                if keys[i][np.isin(keys[i], keys[j], assume_unique=True).argmax()] == shingle:
-                    out.append((int(nid[i]), int(nid[j])))
+            out += [(int(nid[i]), int(nid[j])) for j in rest[100 * most >= percent * (n[i] + n[rest] - most)]]
     return out
 
 
@@ -583,7 +638,7 @@ def _block_links(block: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, with_links: bool = False) -> DataFrame:
-    """Groups of documents whose shingle sets are alike: doc_id, n_shingles, component_id, text_hash, class_id.
+    """Groups of documents whose shingle sets are alike: doc_id, n_shingles, component_id, text_hash, class_id, group.
 
     ``with_links`` adds n_links, the number of other rows that link to a row
     (rows of its own class too), from an exact pass over all groups.
@@ -591,37 +646,46 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, with_lin
     Words are runs of other than ASCII white space, A-Z as a-z; a set is the
     distinct shingles of ``words`` words (with fewer words, all of them as one).
     Two documents link if 100 * intersection >= percent * union; component_id is
-    the smallest doc_id reachable by links.  Texts without words, and nulls, link
-    with nothing and are their own component (their doc_id, null if that is
-    null).  Documents of equal sets share class_id.  A null doc_id is a
-    component's id only if all of its documents have none.  Repeated rows are
-    each returned.  Other columns are not read.  Hashes have 64 bits.
+    the smallest doc_id reachable by links, class_id the smallest of the
+    documents with an equal set; ``group`` numbers the components, whether they
+    have a doc_id or not.  Texts without words, and nulls, link with nothing:
+    they are their own component (their doc_id, null if that is null) and have
+    neither class nor group.  A null doc_id is a component's or a class's id only
+    if all of its documents have none.  Repeated rows are each returned.  Other
+    columns are not read.  Hashes have 64 bits.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent must be in 1..100")
-    frequent = frequent_shingles(docs, words)
-    made = materialize(document_sets(docs, words, percent, frequent), "sets")
-    members = materialize(made.select("doc_id", "text_hash", "n", "digest"), "members")
-    picked = made.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs"), *[F.first(c).alias(c) for c in ("n", "common", "keys", "bits")])
-    classes = materialize(picked.withColumn("nid", F.monotonically_increasing_id()), "classes")
-    remove(made)
+    scanned = materialize(scan(docs, words), "scan")
+    members = scanned.filter("n is not null").select("doc_id", "text_hash", "n", "digest")
+    frequent = frequent_shingles(scanned)
+    first_of = members.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs"), F.first("n").alias("n"))
+    first_of = materialize(first_of, "first")
+    made = class_rows(docs, first_of, words, percent, frequent)
+    classes = materialize(first_of.join(made, "digest").withColumn("nid", F.monotonically_increasing_id()), "classes")
+    remove(first_of)
     join = _Join(docs, classes, words, percent)
 
-    found = materialize(tiles(classes, percent), "tiles")
-    first = materialize(found.filter("b is not null").select("a", "b").distinct(), "pairs")
+    found, hot = tiles(classes, percent)
+    found, hot = materialize(found, "tiles"), None if hot is None else materialize(hot, "hot")
+    both = found if hot is None else found.unionByName(hot)
+    first = materialize(both.filter("b is not null").select("a", "b").distinct(), "pairs")
     edges = join.linked(first)
-    large = found.filter("b is null").select("a", "shingle", "n", "pos")
-    if not large.isEmpty():
-        more = materialize(_left_over(large, connected_components(edges), classes, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    columns = ("a", "shingle", "band", "n", "pos")
+    large = found.filter("b is null").select(*columns)
+    if hot is not None or not large.isEmpty():
+        hot_members = None if hot is None else hot.filter("b is null").select(*columns)
+        more = _left_over(large, hot_members, connected_components(edges), percent, classes)
+        more = materialize(more.join(first, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             edges = edges.unionByName(join.linked(more))
         remove(more)
-    remove(found)
+    remove(both)
     remove(first)
     roots = connected_components(edges)
     reps = classes.select("digest", "nid", "rep").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     least = reps.groupBy("root").agg(F.min("rep").alias("component"))
-    classed = reps.join(least, "root").select("digest", "nid", "component")
+    classed = reps.join(least, "root").select("digest", "nid", "rep", "root", "component")
     count = []
     if with_links:
         sets = materialize(join.sets(roots.select(F.col("node").alias("nid"))), "sets")
@@ -636,7 +700,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, with_lin
         F.col("n").alias("n_shingles"),
         F.when(F.col("nid").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         "text_hash",
-        F.col("nid").alias("class_id"),
+        F.col("rep").alias("class_id"),
+        F.col("root").alias("group"),
         *count,
     )
 
@@ -644,23 +709,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, with_lin
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """All columns of ``docs``, one document of each group: that with the smallest doc_id.
 
-    Documents without words all stay.  Of a group without doc_ids the row with
-    the least text hash stays; of rows that repeat the kept doc_id and text, one.
+    Documents without words all stay.  Of a group's rows with that doc_id (or, if
+    none has a doc_id, of all) the one with the least text hash stays, and of rows
+    that repeat it, one.
     """
-    groups = materialize(near_duplicates(docs, words, percent), "groups")
-    grouped = groups.filter("class_id is not null")
-    best = grouped.filter("doc_id <=> component_id")
-    best = best.groupBy("component_id", F.when(F.col("component_id").isNull(), F.lit(0)).alias("none")).agg(F.min("text_hash").alias("best"))
-    best = best.select(F.col("component_id").alias("_c"), "best")
-    stays = F.expr("doc_id <=> _c and text_hash = best")
-    gone = grouped.join(best, stays, "left_anti").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_hash"])
-    kept = docs.join(gone, same, "left_anti")
-    again = grouped.groupBy("doc_id", "text_hash").count().filter("count > 1")
-    again = again.join(best, stays, "left_semi").select(F.col("doc_id").alias("_again_id"), F.col("text_hash").alias("_again_hash"))
-    again = materialize(again, "again")
+    groups = settle(docs.sparkSession, lambda: near_duplicates(docs, words, percent).select("doc_id", "text_hash", "component_id", "group"), "groups")
+    grouped = groups.filter("group is not null")
+    best = grouped.filter("doc_id <=> component_id").groupBy("group").agg(F.min("text_hash").alias("best"), F.first("component_id").alias("first"))
+    rows = grouped.groupBy("group", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times")).join(best, "group")
+    rows = rows.withColumn("stays", F.expr("doc_id <=> first and text_hash = best"))
+    fate = materialize(rows.filter("not stays or times > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "stays"), "fate")
+    same = docs["doc_id"].cast("long").eqNullSafe(fate["_id"]) & (F.xxhash64(docs["text"]) == fate["_hash"])
+    rest = docs.join(fate, same, "left_anti")
+    again = fate.filter("stays")
     if again.isEmpty():
-        return kept
-    same = kept["doc_id"].cast("long").eqNullSafe(again["_again_id"]) & (F.xxhash64(kept["text"]) == again["_again_hash"])
-    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, same, "left_anti").unionByName(once)
+        return rest
+    same = docs["doc_id"].cast("long").eqNullSafe(again["_id"]) & (F.xxhash64(docs["text"]) == again["_hash"])
+    return rest.unionByName(docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

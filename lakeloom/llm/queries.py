@@ -103,6 +103,24 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE k.text END AS text,
 FROM documents d JOIN kept k ON d.doc_id = k.doc_id
 """
 
+NGRAM_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM w
+), c AS (SELECT s, min(doc_id) AS class_id, count(*) AS docs, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+u AS (SELECT class_id, n, unnest(s) AS g FROM c),
+p AS (SELECT a.class_id AS a, b.class_id AS b FROM u a JOIN u b ON a.g = b.g AND a.class_id <> b.class_id
+  GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r AS (SELECT class_id AS a, class_id AS b FROM c UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+k AS (SELECT a AS class_id, min(b) AS component_id FROM r GROUP BY a),
+l AS (SELECT p.a AS class_id, sum(c.docs) AS linked FROM p JOIN c ON c.class_id = p.b GROUP BY p.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(k.component_id, s.doc_id) AS component_id, c.class_id,
+       CAST(coalesce(c.docs - 1 + coalesce(l.linked, 0), 0) AS BIGINT) AS n_links
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN k ON k.class_id = c.class_id LEFT JOIN l ON l.class_id = c.class_id
+"""
+
 DEDUP_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
@@ -139,4 +157,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL, "op6_line_dedup": LINE_SQL, "op7_exact_dedup": DEDUP_SQL, "op8_chat_format": CHAT_SQL}
+    return {"op3_ngram_jaccard": NGRAM_SQL, "op4_warc": WARC_SQL, "op6_line_dedup": LINE_SQL, "op7_exact_dedup": DEDUP_SQL, "op8_chat_format": CHAT_SQL}

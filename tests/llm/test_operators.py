@@ -126,6 +126,15 @@ def brute_sets(text: str | None, k: int) -> frozenset:
 
 
 def brute_components(rows: list[tuple], k: int, percent: int) -> list[tuple]:
+    least = {}
+    groups = brute_groups(rows, k, percent)
+    for r, group in zip(rows, groups, strict=True):
+        least[group] = min([least.get(group), r[0]], key=key) if group in least else r[0]
+    return sorted(((r[0], len(brute_sets(r[1], k)), r[0] if g is None else least[g]) for r, g in zip(rows, groups, strict=True)), key=str)
+
+
+def brute_groups(rows: list[tuple], k: int, percent: int) -> list[int | None]:
+    """Number of each row's group, None without words."""
     sets = [brute_sets(r[1], k) for r in rows]
     parent = list(range(len(rows)))
 
@@ -138,11 +147,7 @@ def brute_components(rows: list[tuple], k: int, percent: int) -> list[tuple]:
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 parent[find(i)] = find(j)
-    least = {}
-    for i, r in enumerate(rows):
-        if sets[i]:
-            least[find(i)] = min([least.get(find(i)), r[0]], key=key)
-    return sorted(((r[0], len(s), least[find(i)] if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets, strict=True))), key=str)
+    return [find(i) if s else None for i, s in enumerate(sets)]
 
 
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
@@ -151,17 +156,18 @@ def test_ngram_join(docs, k, percent):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute_components(ROWS, k, percent)
 
 
-@pytest.mark.parametrize("large", [0, 1000])
-def test_ngram_join_large_tiles(spark, monkeypatch, large):
-    """Tiles above the small size, several blocks, and groups that the leader alone does not find."""
+@pytest.mark.parametrize(("large", "hot"), [(0, 2048), (1000, 2048), (0, 8)])
+def test_ngram_join_large_tiles(spark, monkeypatch, large, hot):
+    """Tiles above the small size, several blocks, hot tiles, and groups that the leader alone does not find."""
     monkeypatch.setattr(ngram_join, "LARGE_TILE", large)
+    monkeypatch.setattr(ngram_join, "HOT_LEAST", hot)
     monkeypatch.setattr(ngram_join, "SMALL_TILE", 3)
     monkeypatch.setattr(ngram_join, "TILE_ROWS", 4)
     monkeypatch.setattr(ngram_join, "FREQUENT", 4)
     base = prose(60).split()
     rows = []
     for i in range(60):
-        words = list(base)
+        words = base[: R.randint(40, 60)] if i % 3 else list(base)
         for _ in range(R.randint(1, 5)):
             words[R.randrange(len(words))] = R.choice(VOCABULARY)
         rows.append((i, " ".join(words)))
@@ -204,17 +210,49 @@ def test_ngram_join_counts_every_link(spark, docs, monkeypatch):
 
 
 def test_keep_one(docs):
+    """Every row, those without a doc_id too: wordless rows all stay, and of each group one row."""
     kept = ngram_join.keep_one(docs).collect()
-    want = collections.Counter()
-    for doc_id, n, component in brute_components(ROWS, 5, 80):
-        if not n:
-            want[doc_id] += 1
-        elif doc_id == component:
-            want[doc_id] = 1
-    textless = {r[0] for r in ROWS if not brute_sets(r[1], 5)}
-    got = collections.Counter(r["doc_id"] for r in kept)
-    assert {k: v for k, v in got.items() if k is not None} == {k: v for k, v in want.items() if k is not None}
-    assert textless <= set(got) and kept[0].__fields__ == docs.columns
+    want = collections.Counter(r[:2] for r in ROWS if not brute_sets(r[1], 5))
+    of = collections.defaultdict(list)
+    for r, group in zip(ROWS, brute_groups(ROWS, 5, 80), strict=True):
+        if group is not None:
+            of[group].append(r)
+    got = collections.Counter((r["doc_id"], r["text"]) for r in kept)
+    for rows in of.values():
+        least = min((r[0] for r in rows), key=key)
+        texts = {r[1] for r in rows if r[0] == least}
+        found = [t for t in texts if got[least, t]]
+        assert len(found) == 1
+        want[least, found[0]] += 1
+    assert got == want and kept[0].__fields__ == docs.columns
+
+
+def test_keep_one_without_ids(spark):
+    """Different texts without a doc_id all stay; of copies without one, one does."""
+    texts = [prose(30) for _ in range(6)]
+    df = spark.createDataFrame([(None, t) for t in [*texts, texts[0], texts[0], None, "", ""]], "doc_id long, text string")
+    got = collections.Counter(r["text"] for r in ngram_join.keep_one(df).collect())
+    assert got == collections.Counter([*texts, None, "", ""])
+
+
+def test_words_of_regular_structure(spark):
+    """Words that a polynomial modulo a power of two cannot tell apart do not link."""
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(i, t[:n]) for i, (t, n) in enumerate((t, n) for n in (8, 128, 1024, 4096) for t in (word, other))]
+    got = ngram_join.near_duplicates(spark.createDataFrame([*rows, (9, word.upper())], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {**{i: i for i, _ in rows}, 9: 6}
+
+
+@pytest.mark.parametrize("percent", [1, 50, 80, 85, 99, 100])
+def test_bands_hold_all_links(percent):
+    starts = ngram_join.band_starts(percent)
+    sizes = [*range(1, 400), *(R.randrange(1, 1 << 30) for _ in range(400))]
+    for n in sizes:
+        a, b = ngram_join.np.searchsorted(starts, [n, 100 * n // percent], "right")
+        assert b - a <= 1
 
 
 def test_bitmap_bound_holds():
