@@ -60,6 +60,12 @@ class Files:
         options[0] = self._jvm.java.lang.Enum.valueOf(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), "OVERWRITE")
         context.rename(t, p, options)
 
+    def move(self, path: str, to: str) -> None:
+        """Rename a folder to a path that must not exist."""
+        p, fs = self._path(path)
+        if not fs.rename(p, self._jvm.org.apache.hadoop.fs.Path(to)):
+            raise OSError(f"{path} cannot be renamed to {to}")
+
     def delete(self, path: str) -> None:
         p, fs = self._path(path)
         fs.delete(p, True)
