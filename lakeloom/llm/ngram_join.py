@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, remove, settle
+from .common import materialize, remove, settle, sift
 from .components import connected_components
 
 SLICE_BYTES = 1_500_000  # bytes of text hashed at once; longer texts are hashed in parts
@@ -41,7 +41,6 @@ FREQUENT_MOST = 1 << 20  # the list of frequent shingles is no longer than this
 SMALL_TILE = 12  # tiles up to this size give all their pairs at once
 HOT_LEAST = 2048  # and with more than so many rows
 BANDS_MOST = 256  # size bands
-FILTER_LEAST, FILTER_MOST = 1 << 16, 1 << 26  # bits of the filter of documents whose texts are needed; beyond its use all are read
 BITS_LEAST, BITS_MOST = 64, 1 << 18  # sizes of a bitmap signature
 BITS_EACH = 4  # bits for each shingle at least, so that few share one
 LARGE_TILE = 128  # open tiles above this size are compared with bitmaps at hand
@@ -265,14 +264,9 @@ def band_starts(percent: int) -> np.ndarray:
 
 
 def chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents in ``ids`` (rep), and of some others: a filter whose size is bounded spares the rest the work."""
-    slots = min(FILTER_MOST, max(FILTER_LEAST, 1 << (16 * ids.count()).bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)) + F.lit(1)
-    words = ids.select(F.col("rep").alias("doc_id")).groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("set"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("slot", slot)
-    rows = rows.join(F.broadcast(words), F.bitmap_bucket_number("slot") == F.col("bucket"))  # at most FILTER_MOST bits
-    rows = rows.withColumn("at", F.bitmap_bit_position("slot").cast("int"))
-    return rows.filter("shiftright(cast(conv(hex(substring(`set`, at div 8 + 1, 1)), 16, 10) as int), at % 8) % 2 = 1").select("doc_id", "text")
+    """(doc_id, text) of the documents in ``ids`` (rep), and of some others."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return sift(rows, F.xxhash64("doc_id"), ids, F.xxhash64("rep"))
 
 
 def class_rows(docs: DataFrame, classes: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -486,10 +480,11 @@ def _left_over(members: DataFrame, hot: DataFrame | None, roots: DataFrame, perc
 
     def opened(rows: DataFrame, send: bool) -> DataFrame:
         known = rows.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+        known = materialize(known, "known")
         blocks = F.struct("band", F.ceil(F.col("size") / TILE_ROWS).cast("int").alias("blocks"))
         bands = known.groupBy("shingle", "band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
         whole = bands.groupBy("shingle").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("size").alias("size"), F.map_from_entries(F.collect_list(blocks)).alias("blocks"))
-        whole = whole.filter("lo < hi").select("shingle", "size", "blocks")
+        whole = materialize(whole.filter("lo < hi").select("shingle", "size", "blocks"), "whole")  # apart, so that the join can split a tile
         return known.join(F.broadcast(whole) if send else whole, "shingle")  # of hot tiles there are HOT_TILES at most
 
     known = opened(members, False) if hot is None else opened(members, False).unionByName(opened(hot, True))

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -69,12 +70,14 @@ def key(value):
     return (value is None, value or 0)
 
 
-def test_exact_dedup(docs):
+@pytest.mark.parametrize("memtable", [None, 9])
+def test_exact_dedup(docs, memtable):
+    """In one batch, and in batches that look up the older runs and compact them."""
     groups = collections.defaultdict(list)
     for r in ROWS:
         groups[norm(r[1])].append(r[0])
     got = collections.defaultdict(list)
-    for r in exact_dedup.exact_dedup(docs).collect():
+    for r in exact_dedup.exact_dedup(docs, memtable).collect():
         got[r["text_sha256"]].append(r)
     assert sum(map(len, got.values())) == len(ROWS)
     for text, ids in groups.items():
@@ -85,6 +88,36 @@ def test_exact_dedup(docs):
         assert [r["doc_id"] for r in rows if r["kept"]] == [least]
 
 
+def test_digest_index_over_batches(spark, tmp_path):
+    """Hits of each batch against a plain map, levels after compaction, and an index that is opened again."""
+    path = f"file://{tmp_path}/index"
+    index = exact_dedup.DigestIndex(spark, path, fanout=3)
+    held = collections.defaultdict(list)
+    for b in range(7):
+        batch = [(R.randrange(60).to_bytes(2, "big"), R.choice([None, R.randrange(1000)])) for _ in range(25)]
+        hits = {bytes(r[0]) for r in index.flush(spark.createDataFrame(batch, "digest binary, keep_id long")).collect()}
+        for d, i in batch:
+            held[d].append(i)
+        assert hits == {d for d, _ in batch if len(held[d]) > 1}
+        if b == 4:
+            index = exact_dedup.DigestIndex(spark, path, fanout=3)
+    assert [r.level for r in index.runs] == [1, 1, 0]
+    asked = spark.createDataFrame([(i.to_bytes(2, "big"),) for i in range(80)], "digest binary")
+    got = {bytes(r["digest"]): (r["keep_id"], r["entries"]) for r in index.lookup(asked).collect()}
+    assert got == {d: (min(ids, key=key), len(ids)) for d, ids in held.items()}
+    assert len(list((tmp_path / "index").iterdir())) == 3
+
+
+def test_exact_dedup_many_repeated_rows(spark):
+    """Work grows with the rows, not with the square of the rows that repeat one identifier and text."""
+    repeated = spark.range(100_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("the same  text").alias("text"))
+    nulls = spark.range(50_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    began = time.monotonic()
+    out = exact_dedup.exact_dedup(repeated.unionByName(nulls)).groupBy("doc_id", "keep_id", "group_size", "kept").count().collect()
+    assert time.monotonic() - began < 60
+    assert sorted((tuple(r) for r in out), key=str) == [(5, 5, 150_000, False, 99_999), (5, 5, 150_000, True, 1), (None, 5, 150_000, False, 50_000)]
+
+
 def test_sharding_rows_law(docs):
     got = sharding.shard_documents(docs, 7).collect()
     sizes = collections.Counter(r["shard"] for r in got)
