@@ -31,16 +31,20 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n")
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
-    """Lines on ``min_sites`` sites or more: line (hash), first_doc (smallest doc_id with it).  A null site is no site."""
-    lines = docs.select(
-        F.col("doc_id").alias("doc_id"), col(site).cast("string").alias("site"), F.explode(F.transform(lines_of(F.col("text")), line_key)).alias("line")
-    ).filter("line is not null")
+def hashed_lines(docs: DataFrame, site: str = "source") -> DataFrame:
+    """doc_id, text_hash, site and the hash of each distinct line: texts are split and hashed this once."""
+    keys = F.array_distinct(F.transform(lines_of(F.col("text")), line_key))
+    lines = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), col(site).cast("string").alias("site"), F.explode(keys).alias("line"))
+    return materialize(lines.filter("line is not null"), "lines")
+
+
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """Of :func:`hashed_lines`, those on ``min_sites`` sites or more: line (hash), first_doc (smallest doc_id with it).  A null site is no site."""
     sketched = lines.groupBy("line").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_BITS))).alias("estimate"), F.min("doc_id").alias("first_doc")
     )
     margin = max(1.0, MARGIN * min_sites)
-    wide = materialize(sketched.filter(F.col("estimate") >= min_sites - margin), "lines")
+    wide = materialize(sketched.filter(F.col("estimate") >= min_sites - margin), "wide")
     near = wide.filter(F.col("estimate") <= min_sites + margin).select("line")
     # Pre-aggregation to one row for each line and site in each task, then for each line.
     exact = lines.join(near, "line", "left_semi").filter("site is not null").select("line", "site").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("sites"))
@@ -61,13 +65,13 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str =
     doc_id is first only where no row with a doc_id has the line.  Rows that
     repeat a doc_id keep or lose a line together.
     """
-    bad = boilerplate(docs, min_sites, site)
-    held, gone, lines, key = fresh(docs, "_held_by", "_gone", "_lines", "_line")
-    rows = docs.select(F.col("doc_id").alias(held), F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_key))).alias(key)).filter(F.col(key).isNotNull())
-    bad = bad.withColumnsRenamed({"line": "_bad_line", "first_doc": "_first"})
-    hits = rows.join(bad, F.col(key) == F.col("_bad_line")).filter(~F.col(held).eqNullSafe(F.col("_first")))
-    hits = hits.groupBy(held).agg(F.collect_set(key).alias(gone))  # no more than a document has lines
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits[held]), "left")
+    made = hashed_lines(docs, site)
+    bad = boilerplate(made, min_sites).withColumnsRenamed({"line": "_bad_line", "first_doc": "_first"})
+    held, hashed, gone, lines = fresh(docs, "_held_by", "_hashed", "_gone", "_lines")
+    hits = made.join(bad, F.col("line") == F.col("_bad_line")).filter(~F.col("doc_id").eqNullSafe(F.col("_first")))
+    # By row and not by doc_id alone, which may be null in any number of rows: no more than a text has lines.
+    hits = hits.groupBy(F.col("doc_id").alias(held), F.col("text_hash").alias(hashed)).agg(F.collect_set("line").alias(gone))
+    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits[held]) & (F.xxhash64(docs["text"]) == hits[hashed]), "left")
     kept = F.filter(lines_of(F.col("text")), lambda x: ~F.coalesce(F.array_contains(F.col(gone), line_key(x)), F.lit(False)))
     joined = joined.withColumn(lines, F.when(F.col(gone).isNotNull(), kept))
     if drop_emptied:  # only rows that lost a line: a text that was blank before stays
