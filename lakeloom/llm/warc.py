@@ -40,6 +40,17 @@ def sha1_label(data: bytes) -> bytes:
     return b"sha1:" + base64.b32encode(hashlib.sha1(data).digest())
 
 
+def stated_sha1(headers: dict[str, str], part: str) -> str | None:
+    """SHA-1 that a record states of its block or payload, in hexadecimal; None if it states none or another kind."""
+    kind, _, value = headers.get(f"warc-{part}-digest", "").partition(":")
+    if kind.lower() not in ("sha1", "sha-1"):
+        return None
+    try:
+        return bytes.fromhex(value).hex() if len(value) == 40 else base64.b32decode(value.upper()).hex()
+    except ValueError as e:
+        raise WarcError("a digest that cannot be read") from e
+
+
 def record_id(name: str) -> bytes:
     return b"<urn:uuid:" + str(uuid.uuid5(uuid.NAMESPACE_URL, name)).encode() + b">"
 
@@ -49,8 +60,8 @@ def _clean(value: str | None) -> bytes:
     return " ".join((value or "").split()).encode("utf-8")
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record, uncompressed.  A revisit has the response's head but no payload."""
+def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, again: str = "") -> bytes:
+    """One record, uncompressed.  A revisit has the response's head but no payload; ``again`` tells repeated rows apart."""
     head = HTTP_HEAD + b"Content-Length: %d\r\n\r\n" % len(payload)
     revisit = refers_to is not None
     block = head if revisit else head + payload
@@ -58,7 +69,7 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, digest: st
     lines = [
         VERSION,
         b"WARC-Type: " + (b"revisit" if revisit else b"response"),
-        b"WARC-Record-ID: " + record_id(f"page:{name.decode()}:{digest}:{revisit}"),
+        b"WARC-Record-ID: " + record_id(f"page:{name.decode()}:{digest}:{revisit}{again}"),
         b"WARC-Date: " + NO_DATE,
         b"WARC-Target-URI: " + _clean(url),
         b"WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)),
@@ -146,23 +157,34 @@ def read_record(pieces: Iterator[bytes]) -> tuple[dict[str, str], bytes]:
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise WarcError("a block shorter than its length")
     block = bytes(rest[:size])
-    expected = headers.get("warc-block-digest")
-    if expected is not None and expected.encode() != sha1_label(block):
+    if stated_sha1(headers, "block") not in (None, hashlib.sha1(block).hexdigest()):
         raise WarcError("a block that does not fit its digest")
     return headers, block
 
 
 def read_archive(data: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, payload) of each record; payloads of responses are verified, revisits have none."""
+    """(headers, payload) of each record.
+
+    The payload of a response or revisit over HTTP stands after its HTTP headers;
+    other records' payload is their block.  A SHA-1 payload digest of a response
+    is verified; other algorithms, and records without one, are taken as they are.
+    """
     for member in members(data):
         headers, block = read_record(member)
-        _, found, payload = block.partition(b"\r\n\r\n")
-        if headers.get("warc-type") == "response":
-            if not found or headers.get("warc-payload-digest", "").encode() != sha1_label(payload):
-                raise WarcError("a payload that does not fit its digest")
+        payload = block
+        if headers.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+            _, found, payload = block.partition(b"\r\n\r\n")
+            if not found:
+                raise WarcError("an HTTP block without an end of headers")
+        if headers.get("warc-type") == "response" and stated_sha1(headers, "payload") not in (None, hashlib.sha1(payload).hexdigest()):
+            raise WarcError("a payload that does not fit its digest")
         yield headers, payload
 
 
+def _number(text: str | None) -> int | None:
+    return int(text) if text and text.lstrip("-").isdecimal() else None
+
+
 def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Write a record for each row of ``pages`` (page_id, url, html) to archives under ``path``.
 
@@ -185,15 +207,20 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[bytes] = []
+        named: set[tuple] = set()  # of the open archive
         size = 0
         for batch in batches:
             for i in range(batch.num_rows):
                 page_id, url, text, digest, refers_to = (c[i].as_py() for c in batch.columns)
-                parts.append(gzip_member(make_record(page_id, url, text.encode("utf-8"), digest, refers_to)))
+                # The page that others refer to has an identifier that follows from the page; a row that repeats it in this task does not.
+                again = "" if (page_id, digest) not in named else uuid.uuid4().hex
+                named.add((page_id, digest))
+                parts.append(gzip_member(make_record(page_id, url, text.encode("utf-8"), digest, refers_to, again)))
                 size += len(parts[-1])
                 if size >= archive_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["archive"])
                     parts, size = [], 0
+                    named.clear()
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["archive"])
 
@@ -203,10 +230,13 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYT
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Read the archives under ``path``: a row per record, with its type, digest and size.
+    """Read the archives under ``path``: a row per response and revisit, with its type, digest and size.
 
-    A damaged archive raises :class:`WarcError`.  The payload size of a revisit
-    is that of the response, as its record says.
+    A damaged archive raises :class:`WarcError`.  Records of other types
+    (warcinfo, request, metadata and so on) are framed and verified but give no
+    row.  The payload size of a revisit is that of the response, as its record
+    says, or null; a response without a SHA-1 payload digest gets that of its
+    payload, such a revisit null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +245,12 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 rows = []
                 for headers, payload in read_archive(memoryview(content.as_buffer())):
                     page, first = headers.get("x-page-id", "none"), headers.get("x-refers-to-page")
-                    kind = headers["warc-type"]
-                    size = len(payload) if kind == "response" else int(headers["x-payload-length"])
-                    digest = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    rows.append((None if page == "none" else int(page), size, digest, kind, None if first is None else int(first), headers.get("warc-target-uri")))
+                    kind = headers.get("warc-type")
+                    if kind not in ("response", "revisit"):
+                        continue
+                    size = len(payload) if kind == "response" else _number(headers.get("x-payload-length"))
+                    digest = stated_sha1(headers, "payload") or (hashlib.sha1(payload).hexdigest() if kind == "response" else None)
+                    rows.append((_number(page), size, digest, kind, _number(first), headers.get("warc-target-uri")))
                 if rows:
                     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                     columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
