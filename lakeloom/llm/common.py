@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import col, materialize, new_path, number_rows, remove, setting, settle, shared_dir
 
-__all__ = ["bit_is_set", "col", "fresh", "materialize", "new_path", "number_rows", "remove", "setting", "settle", "shared_dir", "sift"]
+__all__ = ["bit_is_set", "col", "fresh", "materialize", "new_path", "number_rows", "remove", "repeat_rows", "setting", "settle", "shared_dir", "sift"]
 
 FILTER_LEAST, FILTER_MOST = 1 << 16, 1 << 26  # bits of a filter that is sent to all tasks
 BLOCK_BITS = 32768  # bits of one bitmap, as bitmap_construct_agg makes them
@@ -36,6 +36,13 @@ def sift(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) ->
     return marked.filter(bit_is_set(F.col(bits), F.col(at))).select(*[col(c) for c in rows.columns])
 
 
+def repeat_rows(df: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` says, without an array as long as that."""
+    part, i = fresh(df, "_part", "_i")
+    parts = df.withColumn(part, F.explode(F.expr(f"sequence(0L, (`{times}` - 1) div 65536)")))
+    return parts.withColumn(i, F.explode(F.expr(f"sequence(`{part}` * 65536, least(`{times}`, (`{part}` + 1) * 65536) - 1)"))).drop(part, i)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names for internal use that ``df`` does not have (compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, number_rows, setting
+from .common import materialize, number_rows, repeat_rows, setting
 
 SAMPLES = 64
 TAG_BITS = 24  # of (term, t), below the quantised ln a
@@ -114,7 +114,8 @@ def compare_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     pairs = materialize(numbered.join(follow, "place"), "pairs")
 
     unique = rows.select("k1", "k2", "text")
-    if not numbered.filter("times > 1").isEmpty():
+    repeated = not numbered.filter("times > 1").isEmpty()
+    if repeated:
         unique = unique.dropDuplicates(["k1", "k2"])
     cut = F.expr("n div 3")
     heads = unique.join(pairs.select(F.col("k1").alias("own_k1"), F.col("k2").alias("own_k2"), cut.alias("cut"), F.col("next_k1").alias("k1"), F.col("next_k2").alias("k2")), ["k1", "k2"])
@@ -142,10 +143,10 @@ def compare_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         F.when(is_digest, F.conv(F.substring("word", 2, 16), 16, -10).cast("long")).otherwise(F.xxhash64("word")).alias("term"),
     )
     counts = spread.groupBy("k1", "k2", "kind", "term").agg(F.count_if(F.col("part") <= 1).alias("own"), F.count_if(F.col("part") != 1).alias("edited"))
-    return _finish(counts, pairs, samples)
+    return _finish(counts, pairs, samples, repeated)
 
 
-def _finish(counts: DataFrame, pairs: DataFrame, samples: int) -> DataFrame:
+def _finish(counts: DataFrame, pairs: DataFrame, samples: int, repeated: bool) -> DataFrame:
     """From term counts (k1, k2, kind, term, own, edited) to the result."""
     # Text 0 stands for both texts, 1 for the own, 2 for the edited: equal weights are sampled once.
     side = F.expr(
@@ -183,6 +184,6 @@ def _finish(counts: DataFrame, pairs: DataFrame, samples: int) -> DataFrame:
         as_text(F.col("edited")).alias("edited_fingerprint"),
         similarity(F.col("own"), F.col("edited")).alias("near_edited"),
         similarity(F.col("own"), F.col("next_own")).alias("near_next"),
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"),
+        "times",
     )
-    return out.drop("copy")
+    return (repeat_rows(out, "times") if repeated else out).drop("times")

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PER_LANGUAGE = 800  # labelled rows to learn from, for each language
+MOST_LANGUAGES = 64  # languages learned: those with the most labelled rows, ties in alphabetical order
 MOST_SAMPLED = 20_000  # labelled rows in all: with more than 25 languages, each has fewer
 BIGRAMS, TRIGRAMS = 1 << 12, 1 << 13  # buckets of hashed grams
 GRAMS = BIGRAMS + TRIGRAMS
@@ -222,10 +223,12 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     The rows are those whose hashed doc_id falls in a fraction set by the
     language's count, so the choice needs no sort and no task holds a language.
+    Of very many lang values, as dirty labels make them, MOST_LANGUAGES are learned.
     """
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("doc_id is not null and lang is not null and text is not null").filter(~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.count(F.lit(1))).collect()}
+    labels = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r[0]: r[1] for r in labels.collect()}
     if not counts:
         return Model()
     if len(counts) == 1:
@@ -258,7 +261,8 @@ def predict_languages(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (0 to 1).
 
     Only the text decides.  A null, empty or letterless text is ``und`` with
-    score 0, as is everything when nothing was learned.  Repeated rows give
+    score 0, as is everything when nothing was learned.  Equal decision values
+    or votes go to the family or language that is first in the alphabet.  Repeated rows give
     repeated results.  Narrow: no shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred kB a family or pair; documents don't enlarge it

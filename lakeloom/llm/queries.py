@@ -128,24 +128,26 @@ SELECT n.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size, n.doc_id
 FROM n JOIN g ON n.norm = g.norm
 """
 
-CHAT_SQL = """
+CHAT_SQL = r"""
 WITH t AS (
-  SELECT conv_id, role, replace(coalesce(text, ''), '<|', '< |') AS said,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS seq
-  FROM conversations
+  SELECT conv_id, coalesce(role, '') AS role, replace(coalesce(text, ''), '<|', '< |') AS said,
+         replace(trim(regexp_replace(coalesce(role, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '<|', '< |') AS name,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, c.role NULLS FIRST, text NULLS FIRST) - 1 AS seq
+  FROM conversations c
 ), s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> '' AND role <> 'system'),
 v AS (
   SELECT t.conv_id, s.perspective, t.seq // 256 AS block, t.seq, t.role = s.perspective AS own,
          CASE WHEN t.role = s.perspective THEN '<|im_start|>assistant' || chr(10)
               WHEN t.role = 'system' THEN '<|im_start|>system' || chr(10)
-              ELSE '<|im_start|>user name=' || t.role || chr(10) END AS head,
+              WHEN t.role = '' THEN '<|im_start|>user' || chr(10)
+              ELSE '<|im_start|>user name=' || t.name || chr(10) END AS head,
          t.said || '<|im_end|>' AS body
-  FROM t JOIN s ON t.conv_id = s.conv_id
+  FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id
 ), o AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, block ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
             + length(head) AS place FROM v
 )
-SELECT conv_id, perspective, CAST(block AS BIGINT) AS block, CAST(count(*) AS BIGINT) AS n_turns,
+SELECT conv_id, perspective, CAST(block AS BIGINT) AS block, CAST(min(place - length(head)) AS BIGINT) AS block_start, CAST(count(*) AS BIGINT) AS n_turns,
        CAST(count(*) FILTER (WHERE own) AS BIGINT) AS n_assistant, string_agg(head || body || chr(10), '' ORDER BY seq) AS rendered,
        list({'start': CAST(place AS BIGINT), 'stop': CAST(place + length(body) AS BIGINT)} ORDER BY seq) FILTER (WHERE own) AS mask
 FROM o GROUP BY conv_id, perspective, block

@@ -241,11 +241,12 @@ class Codec:
             return 1, str(self.end_id), ""
         units = self._units.findall(MARK + text.replace(" ", MARK))
         if len(self._young) > MEMO_UNITS:
-            self._old, self._young, self._odd = self._young, {}, {}
+            self._old, self._young = self._young, {}
+            self._odd = {u: t for u, t in self._odd.items() if u in self._old}
         young, old, large = self._young, self._old, []
         for unit in set(units).difference(young):
             known = old.get(unit)
-            if known is not None and not self._odd:
+            if known is not None:
                 young[unit] = known
                 continue
             ids = self._unit_to_ids(unit)

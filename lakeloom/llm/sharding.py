@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, number_rows, remove
+from .common import col, fresh, materialize, number_rows, remove
 
 ROUNDS = 6
 OVERHEAD_BYTES = 16  # what a row costs in a shard besides its text
@@ -116,19 +116,21 @@ def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 20_240_101) -
 def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 20_240_101) -> DataFrame:
     """Write the documents in shard and slot order under ``path`` (one folder a shard); returns the placement.
 
-    Rows that repeat doc_id, crc32 and size are matched one to one by their slots.
+    The rows themselves are numbered and permuted, in the order of
+    :func:`shard_documents`, so rows that repeat get a place each without being
+    matched.  The written columns ``shard`` and ``slot`` get another name where
+    ``docs`` has them.
     """
-    placement = shard_documents(docs, shards, seed)
-    key = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_crc", F.crc32(key)).withColumn("_size", F.octet_length(key).cast("long") + OVERHEAD_BYTES)
-    tie = Window.partitionBy("doc_id", "_crc", "_size").orderBy(F.lit(0))
-    keyed = keyed.withColumn("_tie", F.row_number().over(tie))
-    tie = Window.partitionBy("_p_id", "_p_crc", "_p_size").orderBy("slot", "shard")
-    place = placement.select(
-        F.col("doc_id").alias("_p_id"), F.col("text_crc32").alias("_p_crc"), F.col("size").alias("_p_size"), "shard", "slot"
-    ).withColumn("_p_tie", F.row_number().over(tie))
-    joined = keyed.join(place, F.expr("doc_id <=> _p_id and _crc = _p_crc and _size = _p_size and _tie = _p_tie"))
-    out = joined.drop("_crc", "_size", "_tie", "_p_id", "_p_crc", "_p_size", "_p_tie")
+    crc, size, number, position, shard, slot = fresh(docs, "_crc", "_size", "_number", "_position", "shard", "slot")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn(crc, F.crc32(text)).withColumn(size, F.octet_length(text).cast("long") + OVERHEAD_BYTES)
+    numbered, total = number_rows(keyed, [F.col("doc_id").cast("long"), F.col(crc), F.col(size)], number)
+    placed = permute(numbered, number, total, seed, position)
+    placed = placed.withColumn(shard, F.pmod(F.col(position), F.lit(shards)).cast("int")).withColumn(slot, F.expr(f"`{position}` div {shards}"))
+    out = placed.select(*[col(c) for c in docs.columns], shard, slot)
     # A shard is cut in ranges of slots, so that no task writes a whole one.
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return placement
+    out.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path)
+    made = placed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(size).alias("size"), F.col(crc).cast("long").alias("text_crc32"), F.col(shard).alias("shard"), F.col(slot).alias("slot"))
+    made = materialize(made, "placement")
+    remove(placed)
+    return made

@@ -52,6 +52,15 @@ def test_memo_generations(codec, library, monkeypatch):
         assert codec.digest(t)[1] == " ".join(map(str, want))
 
 
+def test_memo_keeps_units_that_decode_otherwise(codec, monkeypatch):
+    """A unit whose decoded text is not itself stays so when the memo turns over."""
+    monkeypatch.setattr(sentencepiece_codec, "MEMO_UNITS", 3)
+    raw = codec._raw_text
+    monkeypatch.setattr(codec, "_raw_text", lambda ids: raw(ids).replace("q", "Q"))
+    for t in ["qq", "a b c d e", "qq", "f g h i j", "qq", "k l m n o"]:
+        assert codec.digest(t)[2] == t.replace("q", "Q")
+
+
 def test_encode_documents(spark, library):
     rows = [(1, None, "x"), (2, "", "x"), (3, "Hello  world\n", "x"), (3, "Hello  world\n", "x"), (None, "é" * 5000, "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
@@ -114,6 +123,35 @@ def test_warc_reader_refuses_damage():
             list(warc.read_archive(data))
 
 
+def test_warc_reader_takes_what_others_write(spark, tmp_path):
+    """Records of other types, digests of other kinds or none, hexadecimal ones, and blocks that are no HTTP."""
+
+    def other(kind: bytes, block: bytes, *lines: bytes) -> bytes:
+        return warc.gzip_member(b"\r\n".join([b"WARC/1.0", b"WARC-Type: " + kind, *lines, b"Content-Length: %d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"
+    is_http = b"Content-Type: application/http;msgtype=response"
+    data = other(b"warcinfo", b"software: x\r\n") + other(b"request", b"GET / HTTP/1.1\r\n\r\n", b"Content-Type: application/http; msgtype=request")
+    data += other(b"response", http, is_http, b"WARC-Target-URI: http://a") + other(b"response", http, is_http, b"WARC-Payload-Digest: sha256:00")
+    data += other(b"response", http, is_http, b"WARC-Payload-Digest: SHA1:" + hashlib.sha1(b"body").hexdigest().encode())
+    data += other(b"response", b"dns\r\n\r\nanswer", b"Content-Type: text/dns") + other(b"revisit", b"", b"WARC-Profile: p")
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    got = sorted((tuple(r) for r in warc.read_archives(spark, f"file://{tmp_path}").collect()), key=str)
+    body = hashlib.sha1(b"body").hexdigest()
+    want = [(None, 4, body, "response", None, u) for u in ("http://a", None, None)]
+    want += [(None, 13 + 2 - 2 + 0, hashlib.sha1(b"dns\r\n\r\nanswer").hexdigest(), "response", None, None), (None, None, None, "revisit", None, None)]
+    assert got == sorted(want, key=str)
+    with pytest.raises(warc.WarcError):
+        list(warc.read_archive(other(b"response", http, is_http, b"WARC-Payload-Digest: sha1:" + b"0" * 40)))
+
+
+def test_warc_repeated_rows_have_identifiers_of_their_own(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "x")] * 3, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, f"file://{tmp_path}/a")
+    data = b"".join(f.read_bytes() for f in (tmp_path / "a").glob("part-*"))
+    assert len({h["warc-record-id"] for h, _ in warc.read_archive(data)}) == 3
+
+
 def test_warc_reader_is_incremental():
     payload = bytes(R.randrange(256) for _ in range(200_000))
     data = warc.gzip_member(record(payload))

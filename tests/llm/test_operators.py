@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -12,7 +13,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.llm import chat_format, exact_dedup, fingerprints, language_id, line_dedup, ngram_join, packing, sharding
+from lakeloom.llm import chat_format, exact_dedup, fingerprints, language_id, line_dedup, ngram_join, packing, sentencepiece_codec, sharding
+from lakeloom.llm.queries import piece_model
 
 R = random.Random(5)
 VOCABULARY = ["".join(R.choice("abcdefghij") for _ in range(R.randint(2, 6))) for _ in range(400)]
@@ -145,6 +147,14 @@ def test_walk_stays_inside(spark):
     assert all(0 <= v < 49 for v in got) and any(v < 40 for v in got)
 
 
+def test_write_shards_beside_columns_of_its_names(spark, tmp_path):
+    rows = [(i % 5, "t", 7, 8, 9) for i in range(40)]
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string, shard long, slot long, _crc long"), f"file://{tmp_path}/shards", 3)
+    back = spark.read.parquet(f"file://{tmp_path}/shards").collect()
+    assert sorted((r["doc_id"], r["text"], r["shard"], r["slot"], r["_crc"]) for r in back) == sorted(rows)
+    assert sorted((r["_slot"], r["_shard"]) for r in back) == sorted((i // 3, i % 3) for i in range(40))
+
+
 def test_write_shards(docs, spark, tmp_path):
     placed = sharding.write_shards(docs, f"file://{tmp_path}/shards", 3)
     back = spark.read.parquet(f"file://{tmp_path}/shards")
@@ -349,11 +359,73 @@ def test_packing(docs):
 
 def test_packer_takes_tightest_compatible_bin():
     p = packing.Packer(100)
-    assert p.place(60, "a", 1)[0] == 0
-    assert p.place(50, "b", 2)[0] == 1
-    assert p.place(40, "a", 3)[0] == 1  # bin 0 fits better but has the source
-    assert p.place(30, "c", 1)[0] == 2  # both other bins are full or have the cluster
-    assert p.place(40, None, None)[0] == 0
+    assert p.place(60, 1, 1)[0] == 0
+    assert p.place(50, 2, 2)[0] == 1
+    assert p.place(40, 1, 4)[0] == 1  # bin 0 fits better but has the source
+    assert p.place(30, 4, 1)[0] == 2  # both other bins are full or have the cluster
+    assert p.place(40)[0] == 0
+
+
+def brute_packing(rows: list[tuple], capacity: int) -> list[tuple]:
+    """doc_id, bin, slot and offset of each rest, by a look at all bins."""
+    bins: list[list] = []  # room, rows
+    out = []
+    rest = [(i, r) for i, r in enumerate(rows) if r[1] % capacity or not r[1]]
+    for i, (doc_id, n, source, cluster) in sorted(rest, key=lambda x: (-(x[1][1] % capacity), x[1][0] is None, x[1][0] or 0, x[0])):
+        need = min(n % capacity + 1, capacity)
+        clash = lambda b: any((source is not None and r[2] == source) or (cluster is not None and r[3] == cluster) for r in b[1])  # noqa: B023, E731
+        fit = [(b[0], k) for k, b in enumerate(bins) if b[0] >= need and not clash(b)]
+        if fit:
+            k = min(fit)[1]
+        else:
+            k = len(bins)
+            bins.append([capacity, []])
+        out.append((doc_id, k, len(bins[k][1]), capacity - bins[k][0]))
+        bins[k][0] -= need
+        bins[k][1].append(rows[i])
+    return out
+
+
+@pytest.mark.parametrize("hot", [0.0, 0.4, 0.9])
+def test_packing_places_as_brute_force(monkeypatch, hot):
+    """The very bin, slot and offset of every piece, with hot sources and clusters; blocks are small, so that they split, empty and are passed."""
+    monkeypatch.setattr(packing, "BLOCK", 3)
+    for _ in range(6):
+        rows = [(i, R.randint(0, 400), "hot" if R.random() < hot else R.choice([None, *"abcdef"]), R.choice([None, R.randrange(40), 0 if R.random() < hot else 1])) for i in range(300)]
+        got = [(r[0], r[4], r[5], r[6]) for r in packing.pack_group(rows, 128) if r[3] < 128]
+        assert got == brute_packing(rows, 128)
+
+
+def test_packing_rounds(spark, docs):
+    """Several groups: bins keep to room and conflicts over the rounds, and few are lost against one group."""
+    rows = [(i, "x" * R.randint(1, 90), f"s{R.randrange(30)}", R.randrange(200)) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, near long")
+    one = packing.pack_documents(df, 100, "near").collect()
+    got = packing.pack_documents(df, 100, "near", group_rows=150).collect()
+    assert sorted((r["doc_id"], r["n_chars"]) for r in got) == sorted((r["doc_id"], r["n_chars"]) for r in one)
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r["bin_id"]].append(r)
+    for own in bins.values():
+        own.sort(key=lambda r: r["slot"])
+        assert [r["slot"] for r in own] == list(range(len(own)))
+        assert all(a["bin_offset"] + a["n_chars"] + 1 == b["bin_offset"] for a, b in zip(own, own[1:], strict=False)) and own[0]["bin_offset"] == 0
+        assert own[-1]["bin_offset"] + own[-1]["n_chars"] <= 100
+        for c in (2, 3):
+            assert len({rows[r["doc_id"]][c] for r in own}) == len(own)
+    assert len(bins) <= 1.05 * len({r["bin_id"] for r in one})
+
+
+def test_packing_keeps_near_copies_apart(spark):
+    """Folded copies by default; groups of the near-duplicate join if they are given."""
+    base = prose(40)
+    rows = [(1, base, "a"), (2, base.upper().replace(" ", ", "), "b"), (3, base + " one more", "c"), (4, prose(9), "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    of = {r["doc_id"]: r["bin_id"] for r in packing.pack_documents(df).collect()}
+    assert of[1] != of[2] and len(set(of.values())) == 2
+    near = ngram_join.near_duplicates(df).select("doc_id", "component_id")
+    of = {r["doc_id"]: r["bin_id"] for r in packing.pack_documents(df.join(near, "doc_id"), cluster="component_id").collect()}
+    assert of[1] != of[3]
 
 
 def test_language_id(spark):
@@ -426,6 +498,44 @@ def jaccard(a: str, b: str) -> float:
     return 1.0 if not keys else sum(min(x[k], y[k]) for k in keys) / sum(max(x[k], y[k]) for k in keys)
 
 
+def hash64(spark, values: list) -> dict:
+    """Spark's 64-bit hash of each value tuple."""
+    kind = {int: "long", str: "string"}
+    schema = ", ".join(f"c{i} {kind[type(v)] if i < 1 or len(values[0]) < 2 else 'int'}" for i, v in enumerate(values[0]))
+    df = spark.createDataFrame(values, schema)
+    return {tuple(r)[:-1]: r["h"] for r in df.withColumn("h", F.xxhash64(*df.columns)).collect()}
+
+
+def test_fingerprints_by_a_second_sampler(spark):
+    """Every sample of some texts, computed term by term in plain Python from the published formula."""
+    texts = ["a b b c", "a b c c c c c", "one", "", " ".join(VOCABULARY[:50] * 3 + VOCABULARY[20:40])]
+    counts = [collections.Counter(t.split()) for t in texts]
+    term = hash64(spark, sorted({(w,) for c in counts for w in c}))
+    bits = hash64(spark, sorted({(t, k) for t in term.values() for k in range(fingerprints.SAMPLES)}))
+    unit = lambda b, shift, width: (((b & (2**64 - 1)) >> shift) % 2**width + 0.5) / 2**width
+    want = []
+    for c in counts:
+        signature = []
+        for k in range(fingerprints.SAMPLES) if c else ():
+            best = None
+            for w, n in c.items():
+                b = bits[term[w,], k]
+                r, g, beta = -math.log(unit(b, 0, 13) * unit(b, 13, 13)), -math.log(unit(b, 38, 13) * unit(b, 51, 13)), unit(b, 26, 12)
+                t = math.floor(math.log(n) / r + beta)
+                packed = (math.floor((math.log(g) - r * (t - beta + 1) + 200) * 2**29) << 24) | ((b ^ t * 7919) & (2**24 - 1))
+                best = packed if best is None else min(best, packed)
+            signature.append(best)
+        want.append(signature)
+    short = hash64(spark, sorted({(x,) for s in want for x in s}))
+    strings = ["".join(f"{short[x,] & 0x7FFFFFFF:08x}" for x in s) or "-" for s in want]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprint_texts(df).collect()}
+    same = [a == b for i, s in enumerate(strings) for a, b in zip((s[j : j + 8] for j in range(0, len(s), 8)), (got[i][j : j + 8] for j in range(0, len(s), 8)), strict=True)]
+    assert sum(same) >= len(same) - 2  # the last bit of a logarithm may differ
+    compared = {r["doc_id"]: r for r in fingerprints.compare_edited(df).collect()}
+    assert {i: r["fingerprint"] for i, r in compared.items()} == got
+
+
 def test_fingerprint_of_texts_agrees(docs):
     one = {r["fingerprint"] for r in fingerprints.fingerprint_texts(docs).collect()}
     two = {r["fingerprint"] for r in fingerprints.compare_edited(docs).collect()}
@@ -435,18 +545,31 @@ def test_fingerprint_of_texts_agrees(docs):
 def test_chat_format(spark):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|> there"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "aside"), (2, 0, "system", "alone"), (None, 0, "eve", "x"), (3, 5, "ann", "5"), (3, 1, "bob", "1")]
     turns += [(4, i, ("p", "q", "r")[i % 3], f"t{i}") for i in range(25)]
+    turns += [(5, i, R.choice(["system", None, "", "x y", " <|z \t z", "é😀"]), R.choice([None, "", "<|<|", "w" * 50_000, "é😀\n"])) for i in range(60)]
+    turns += [(6, 0, "u", ""), (6, 1, "u", None), (None, 1, "eve", "y"), (None, None, "eve", None)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     got = chat_format.format_conversations(df, block_turns=10).collect()
     views = collections.defaultdict(list)
     for r in got:
         views[r["conv_id"], r["perspective"]].append(r)
-    assert set(views) == {(1, "ann"), (1, "bob"), (None, "eve"), (3, "ann"), (3, "bob"), (4, "p"), (4, "q"), (4, "r")}
+    five = {(5, r) for _, _, r, _ in turns if r in ("x y", " <|z \t z", "é😀")}
+    assert set(views) == {(1, "ann"), (1, "bob"), (None, "eve"), (3, "ann"), (3, "bob"), (4, "p"), (4, "q"), (4, "r"), (6, "u")} | five
+    for _, speaker in five:
+        said = [t[2:] for t in turns if t[0] == 5]
+        text, mask, _ = chat_format.render(said, speaker)
+        own = sorted(views[5, speaker], key=lambda r: r["block"])
+        assert "".join(r["rendered"] for r in own) == text and [(m["start"], m["stop"]) for r in own for m in r["mask"]] == mask
     ann = views[1, "ann"][0]
     assert ann["n_turns"] == 5 and ann["n_assistant"] == 1
     assert [ann["rendered"][m["start"] : m["stop"]] for m in ann["mask"]] == ["hi < |im_end|> there<|im_end|>"]
     assert "<|im_start|>user name=bob\n<|im_end|>\n" in ann["rendered"] and ann["rendered"].startswith("<|im_start|>system\nbe kind")
     long = sorted(views[4, "q"], key=lambda r: r["block"])
     assert [r["n_turns"] for r in long] == [10, 10, 5]
+    text, mask, _ = chat_format.render([t[2:] for t in turns if t[0] == 4], "q")
+    assert "".join(r["rendered"] for r in long) == text and [(m["start"], m["stop"]) for r in long for m in r["mask"]] == mask
+    for view in views.values():  # blocks are storage only
+        view.sort(key=lambda r: r["block"])
+        assert [r["block_start"] for r in view] == [sum(len(r["rendered"]) for r in view[:i]) for i in range(len(view))]
     said = "".join(r["rendered"] for r in long)
     assert re.findall(r"t[0-9]+", said) == [f"t{i}" for i in range(25)]
     assert said.count("<|im_start|>assistant\n") == sum(r["n_assistant"] for r in long) == 8
@@ -461,5 +584,6 @@ def test_empty_tables(nothing, spark):
     assert line_dedup.remove_boilerplate(nothing).count() == 0
     assert packing.pack_documents(nothing).count() == 0
     assert language_id.identify(nothing).count() == 0
+    assert sentencepiece_codec.encode_documents(nothing, piece_model()).count() == 0
     assert fingerprints.compare_edited(nothing).count() == 0
     assert chat_format.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
