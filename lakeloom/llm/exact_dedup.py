@@ -167,9 +167,10 @@ def exact_dedup(docs: DataFrame, memtable_rows: int | None = None) -> DataFrame:
         sizes = apart.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         apart = apart.join(sizes, ["digest", "norm"]).select("doc_id", "digest", "keep_id", "group_size")
         seen = seen.join(unequal, "digest", "left_anti").unionByName(apart)
-    repeated = (
-        seen.filter("doc_id <=> keep_id and group_size > 1").groupBy("digest", "keep_id").agg(F.count(F.lit(1)).alias("same")).filter("same > 1")
-    )
+        repeated = seen.filter("doc_id <=> keep_id and group_size > 1").groupBy("digest", "keep_id").agg(F.count(F.lit(1)).alias("same")).filter("same > 1")
+    else:  # by digest and identifier, so that the rows of a large group are in many tasks
+        twice = entries.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("same")).filter("same > 1")
+        repeated = twice.join(groups, "digest").filter("doc_id <=> keep_id").select("digest", "keep_id", "same")
     return _kept(seen, materialize(repeated, "repeated"))
 
 

@@ -576,6 +576,49 @@ def test_chat_format(spark):
     assert views[3, "ann"][0]["rendered"].index("1<|") < views[3, "ann"][0]["rendered"].index("5<|")
 
 
+def test_pipeline_as_brute_force(spark, tmp_path):
+    """Rows, places and offsets of the whole pipeline against the stages done row by row."""
+    import corpus_pipeline
+
+    words = {"en": "the of and to in that is was for with", "de": "der die und das ist nicht mit auf für ein"}
+    said = lambda lang, n: " ".join(R.choice(words[lang].split()) for _ in range(n))
+    rows = []
+    for i in range(90):
+        text = "\n".join(said(("en", "de")[i % 2], R.randint(15, 60)) for _ in range(R.randint(1, 4)))
+        rows.append((i, text + ("\nread more of that in the news" if i % 4 == 0 else ""), ("en", "de")[i % 2], f"s{i % 9}", len(text)))
+    rows += [(200 + i, rows[3 * i][1].replace("the", "this", 1), "en", f"t{i}", 1) for i in range(6)]  # near copies
+    rows += [(300 + i, rows[7][1], "de", f"u{i}", 1) for i in range(7)]  # copies over many sources
+    rows += [(400, "1 2 3 ...", "en", "s1", 9), (401, None, "en", "s1", None), (402, "", None, None, 0), (403, "Ελλάδα και όλοι οι άνθρωποι " * 5, None, "s2", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+
+    scored = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    left = [r for r in rows if scored[r[0]]["lang_pred"] != "und" and scored[r[0]]["score"] >= language_id.LEAST_SCORE]
+    assert {r[0] for r in rows if r[0] < 400} <= {r[0] for r in left} and not {400, 401, 402} & {r[0] for r in left}
+    spread, first = collections.defaultdict(set), {}
+    for r in sorted(left, key=lambda r: -r[0]):
+        for bare in filter(None, (x.strip(" ") for x in r[1].split("\n"))):
+            spread[bare].add(r[3])
+            first[bare] = r[0]
+    lined = []
+    for r in left:
+        kept = [x for x in r[1].split("\n") if len(spread[x.strip(" ")]) < 5 or first[x.strip(" ")] == r[0]]
+        if any(x.strip() for x in kept):
+            lined.append((r[0], "\n".join(kept), *r[2:]))
+    assert len(lined) < len(left)
+    least: dict[int, int] = {}
+    groups = brute_groups(lined, 5, 80)
+    for r, g in zip(lined, groups, strict=True):
+        least[g] = min(least.get(g, r[0]), r[0])
+    single = [r for r, g in zip(lined, groups, strict=True) if r[0] == least[g]]
+    assert len(single) < len(lined)
+    fold = lambda t: re.sub(r"[\W_]+", " ", t).lower().strip() or None
+    want = brute_packing([(r[0], len(r[1]), r[3], fold(r[1])) for r in single], packing.CAPACITY)
+    got = [(r["doc_id"], r["bin_id"], r["slot"], r["bin_offset"]) for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_empty_tables(nothing, spark):
     assert exact_dedup.exact_dedup(nothing).count() == 0
     assert sharding.shard_documents(nothing).count() == 0
