@@ -6,10 +6,12 @@ before it kept; :func:`run` writes each result to the shared folder and rereads
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lakeloom.llm import language_id, line_dedup, ngram_join, packing
-from lakeloom.llm.common import materialize
+from lakeloom.llm.common import remove, settle
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,11 @@ ORACLE_SQL = None  # learned weights and best-fit placement are not SQL; tests h
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that all stages keep; a stage's files go once the next has read them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for at, (name, stage) in enumerate(STAGES[:-1]):
+        made = settle(spark, partial(stage, spark, docs, sf_dir), name)
+        if at:
+            remove(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
