@@ -1,75 +1,85 @@
-"""Date and time texts to values, without any use of the session's time zone."""
+"""Date and time texts to values, without any use of the session's time zone.
+
+A text's fields are taken out by one pattern over all layouts, and all values are
+made from that array: one common subexpression, which generated code computes
+once a row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"  # three letters a month, so a name's place gives its number
-EPOCH_MS = r"\A/Date\((-?[0-9]{1,14})(?:[+-][0-9]+)?\)/\z"
-YMD = r"\A\"?([0-9]{4})[-/.]?([0-9]{2})[-/.]?([0-9]{2})"
-CLOCK = r"(?:\A|[T\s])([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(\.[0-9]+)?)?"
-SHORT_DATE = r"\A([0-9]{2})[-/.]([0-9]{2})[-/.]([0-9]{4})"
-WORDY = r"\A\"?[A-Za-z]{3} ([A-Za-z]{3}) ([0-9]{2}) ([0-9]{4})"
-AMPM = r"\A\"?([A-Za-z]{3}) ([0-9]{2}), ([0-9]{4}) ([0-9]{2}):([0-9]{2})(?::([0-9]{2}))? ([AP]M)"
-OFFSET = r"(?:GMT|[0-9])\s*([+-])([0-9]{2}):?([0-9]{2})(?: \([A-Z]{3}\))?\"?\z"
-ZULU = r"[0-9]\s*Z\"?\z"
+from . import layouts as L
+
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"  # three letters a month, so a name's place gives its number
+
+
+class Fields:
+    """Fields of a text, by name; empty where its layout has none, null where the text has no known layout."""
 
+    def __init__(self, text: Column):
+        self.array = F.split(F.regexp_replace(F.trim(text), L.READ, L.TAKEN), L.MARK, -1)
 
-def _int(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+    def text(self, name: str) -> Column:
+        return F.get(self.array, F.lit(L.FIELDS.index(name) + 1))  # a text without a layout is left alone, before the first mark
 
+    def number(self, *names: str) -> Column:
+        """The field that is there of several of the same kind."""
+        return F.coalesce(*[F.when(self.text(n) != "", self.text(n)) for n in names]).cast("int")  # the layout has digits there
+
+
+def _clock(f: Fields, date_order: str) -> Column:
+    first, second = f.number("first"), f.number("second")
+    day_first = (first > 12) if date_order == "MDY" else (second <= 12)
+    name = F.lower(F.concat(f.text("word"), f.text("name")))  # one of them is empty
+    at = F.when(name != "", F.instr(F.lit(MONTHS), name))
+    month = F.coalesce(f.number("month"), F.when(day_first, second).otherwise(first), F.when((at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int")))
+    day = F.coalesce(f.number("day"), F.when(day_first, first).otherwise(second), f.number("word_day", "name_day"))
+    hour = F.coalesce(f.number("hour"), F.lit(0))
+    hour = F.when(f.text("half") != "", hour % 12 + F.when(f.text("half") == "P", 12).otherwise(0)).otherwise(hour)
+    fraction = F.when(f.text("fraction") != "", F.concat(F.lit("0"), F.substr(f.text("fraction"), F.lit(1), F.lit(7))).cast("decimal(8,6)"))
+    seconds = F.coalesce(f.number("seconds"), F.lit(0)).cast("decimal(8,6)") + F.coalesce(fraction, F.lit(0).cast("decimal(8,6)"))
+    year = f.number("year", "short_year", "word_year", "name_year")
+    return F.when(year.isNotNull(), F.try_make_timestamp_ntz(year, month, day, hour, F.coalesce(f.number("minute"), F.lit(0)), seconds))
+
+
+def _epoch(f: Fields) -> Column:
+    ms = F.when(f.text("epoch") != "", f.text("epoch")).cast("long")
+    start = F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    return F.when(ms.isNotNull(), start + F.make_dt_interval(secs=(ms / 1000).cast("decimal(18,6)")))
 
-def _month(text: Column, pattern: str, group: int) -> Column:
-    at = F.instr(F.lit(MONTHS), F.initcap(F.regexp_extract(text, pattern, group)))
-    return F.when((at > 0) & (at % 3 == 1), ((at + 2) / 3).cast("int"))
+
+def _zone_minutes(f: Fields) -> Column:
+    size = f.number("zone_hours") * 60 + f.number("zone_minutes")
+    return F.when(f.text("zulu") != "", 0).otherwise(F.when(F.concat(f.text("gmt_sign"), f.text("sign")) == "-", -size).otherwise(size))
 
 
 def wall_clock(text: Column, date_order: str = "MDY") -> Column:
-    """Timestamp without zone as written; null if the shape or the date is not valid.
+    """Timestamp without zone as written; null if the layout or the date is not valid.
 
     Day and month of a text like 03/04/2024 follow ``date_order``, unless one of
     them is above 12.
     """
-    s = F.trim(text)
-    ymd = s.rlike(YMD)
-    first, second = _int(s, SHORT_DATE, 1), _int(s, SHORT_DATE, 2)
-    day_first = (first > 12) if date_order == "MDY" else (second <= 12)
-    month = F.when(day_first, second).otherwise(first)
-    day = F.when(day_first, first).otherwise(second)
-    short, wordy, ampm = s.rlike(SHORT_DATE), s.rlike(WORDY), s.rlike(AMPM)
-    year = F.when(ymd, _int(s, YMD, 1)).when(short, _int(s, SHORT_DATE, 3)).when(wordy, _int(s, WORDY, 3)).when(ampm, _int(s, AMPM, 3))
-    month = F.when(ymd, _int(s, YMD, 2)).when(short, month).when(wordy, _month(s, WORDY, 1)).when(ampm, _month(s, AMPM, 1))
-    day = F.when(ymd, _int(s, YMD, 3)).when(short, day).when(wordy, _int(s, WORDY, 2)).when(ampm, _int(s, AMPM, 2))
-    noon = _int(s, AMPM, 4) % 12 + F.when(F.regexp_extract(s, AMPM, 7) == "PM", 12).otherwise(0)
-    hour = F.when(ampm, noon).otherwise(F.coalesce(_int(s, CLOCK, 1), F.lit(0)))
-    minute = F.coalesce(_int(s, CLOCK, 2), F.lit(0))
-    second = F.coalesce(_int(s, CLOCK, 3), F.lit(0)).cast("decimal(8,6)") + F.coalesce(
-        F.concat(F.lit("0"), F.rpad(F.substr(F.regexp_extract(s, CLOCK, 4), F.lit(1), F.lit(7)), 2, "0")).try_cast("decimal(8,6)"), F.lit(0).cast("decimal(8,6)")
-    )
-    return F.when(year.isNotNull(), F.try_make_timestamp_ntz(year, month, day, hour, minute, second))
+    return _clock(Fields(text), date_order)
 
 
 def epoch_instant(text: Column) -> Column:
     """UTC wall clock of ``/Date(ms)/``, whose sign counts; null for other shapes."""
-    ms = F.regexp_extract(F.trim(text), EPOCH_MS, 1).try_cast("long")
-    start = F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-    return start + F.make_dt_interval(secs=(ms / 1000).cast("decimal(18,6)"))
+    return _epoch(Fields(text))
 
 
 def zone_minutes(text: Column) -> Column:
     """Minutes ahead of UTC that a text states; null if it states none."""
-    s = F.trim(text)
-    size = _int(s, OFFSET, 2) * 60 + _int(s, OFFSET, 3)
-    return F.when(s.rlike(ZULU), 0).when(s.rlike(OFFSET), F.when(F.regexp_extract(s, OFFSET, 1) == "-", -size).otherwise(size))
+    return _zone_minutes(Fields(text))
 
 
 def minus_minutes(value: Column, minutes: Column) -> Column:
     return value - F.make_dt_interval(mins=minutes.cast("int"))
 
 
-def zone_to_utc(value: Column, zone: str) -> Column:
-    """UTC wall clock of a wall clock in an IANA zone, both without zone.
+def zone_seconds(value: Column, zone: str) -> Column:
+    """Seconds that an IANA zone is ahead of UTC at a wall clock there.
 
     Two passes: the zone's offset at the wall clock read as UTC gives a first
     instant, the offset there decides.  So an hour that is skipped or repeated
@@ -84,8 +94,12 @@ def zone_to_utc(value: Column, zone: str) -> Column:
     def back(seconds: Column) -> Column:
         return value - F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
-    first = offset(value)
-    return back(offset(back(first)))
+    return offset(back(offset(value)))
+
+
+def zone_to_utc(value: Column, zone: str) -> Column:
+    """UTC wall clock of a wall clock in an IANA zone, both without zone."""
+    return value - F.make_dt_interval(secs=zone_seconds(value, zone).cast("decimal(18,6)"))
 
 
 def to_datetime(text: Column, zone: str | None = None, date_order: str = "MDY") -> Column:
@@ -94,23 +108,25 @@ def to_datetime(text: Column, zone: str | None = None, date_order: str = "MDY")
     A stated offset is taken off; a text without one keeps its wall clock, or is
     converted from ``zone`` if that is given.
     """
-    clock = wall_clock(text, date_order)
-    stated = zone_minutes(text)
-    plain = zone_to_utc(clock, zone) if zone else clock
-    return F.coalesce(epoch_instant(text), F.when(stated.isNotNull(), minus_minutes(clock, stated)).otherwise(plain))
+    f = Fields(text)
+    stated = F.when(f.text("epoch") != "", 0).otherwise(_zone_minutes(f))
+    clock = F.coalesce(_clock(f, date_order), _epoch(f))
+    if not zone:
+        return minus_minutes(clock, F.coalesce(stated, F.lit(0)))
+    # Both are computed for every row, in no branch, so that the clock is one common subexpression.
+    ahead = F.get(F.array(stated * 60, zone_seconds(clock, zone)), F.when(stated.isNull(), 1).otherwise(0))
+    return clock - F.make_dt_interval(secs=ahead.cast("decimal(18,6)"))
 
 
 def to_date(text: Column, date_order: str = "MDY") -> Column:
     """Date as written, whatever zone the text states."""
-    return F.coalesce(epoch_instant(text), wall_clock(text, date_order)).cast("date")
+    f = Fields(text)
+    return F.coalesce(_epoch(f), _clock(f, date_order)).cast("date")
 
 
 def to_time_text(text: Column) -> Column:
     """``HH:MM:SS`` as written, fraction kept; null if there is no time."""
-    s = F.trim(text)
-    has = s.rlike(CLOCK)
-    parts = F.concat(
-        F.lpad(F.regexp_extract(s, CLOCK, 1), 2, "0"), F.lit(":"), F.regexp_extract(s, CLOCK, 2), F.lit(":"),
-        F.when(F.regexp_extract(s, CLOCK, 3) == "", "00").otherwise(F.regexp_extract(s, CLOCK, 3)), F.regexp_extract(s, CLOCK, 4),
-    )
-    return F.coalesce(F.date_format(epoch_instant(text), "HH:mm:ss"), F.when(has, parts))
+    f = Fields(text)
+    seconds = F.when(f.text("seconds") == "", "00").otherwise(f.text("seconds"))
+    parts = F.concat(F.lpad(f.text("hour"), 2, "0"), F.lit(":"), f.text("minute"), F.lit(":"), seconds, f.text("fraction"))
+    return F.coalesce(F.date_format(_epoch(f), "HH:mm:ss"), F.when(f.text("hour") != "", parts))

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import layouts
 from . import patterns as P
 from .numbers import normalize_number
 from .typesystem import CODE, DATE_GROUP, JSON_GROUP, NUMBER_CHAIN, TEXT_GROUP, local_type
@@ -49,10 +50,10 @@ def text_type(text: Column, separators: tuple[str, str] | None = None) -> Column
         .when(numeric, number)
         .when(text.rlike(P.BOOLEAN), "boolean")
         .when(text.rlike(P.EXPONENT), "exponent")
-        .when(text.rlike(P.DATETIMETZ), "datetimetz")
-        .when(text.rlike(P.DATETIME), "datetime")
-        .when(text.rlike(P.DATE), "date")
-        .when(text.rlike(P.TIME), "time")
+        .when(text.rlike(layouts.ZONED), "datetimetz")
+        .when(text.rlike(layouts.UNZONED), "datetime")
+        .when(text.rlike(layouts.ONLY_DAY), "date")
+        .when(text.rlike(layouts.ONLY_CLOCK), "time")
         .when(json, "json")
         .otherwise(text_tier(text))
     )

@@ -157,9 +157,8 @@ def collate_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _formatted(us: bool) -> Column:
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
-    whole = F.regexp_replace((F.expr("0L") + F.floor(cents / 100)).cast("string"), r"(?<=[0-9])(?=(?:[0-9]{3})+\z)", "," if us else ".")
-    return F.concat(whole, F.lit("." if us else ","), F.lpad((cents % 100).cast("string"), 2, "0"))
+    text = F.format_number(F.round(F.col("l_extendedprice") * 100).cast("long") / 100, 2)
+    return text if us else F.translate(text, ",.", ".,")
 
 
 NUMBER_SQL = """SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber,
@@ -212,12 +211,23 @@ def normalize_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("o_orderkey", *[dates.to_date(F.col(n)).alias(n) for n in texts], dates.to_datetime(F.col("shifted")).alias("shifted"))
 
 
+# Wall clocks of New York around both changes of 2024, a minute and a second apart: skipped hours, repeated hours and others.
+WALL = "CASE WHEN event_id % 2 = 0 THEN TIMESTAMP{0} '2024-03-09 12:00:00' ELSE TIMESTAMP{0} '2024-11-02 12:00:00' END + {1}"
+
+
 @query(
-    "SELECT event_id, CAST(date_trunc('second', ts) AS TIMESTAMP) - INTERVAL 330 MINUTE AS utc, CAST(date_trunc('second', ts) AS TIMESTAMP) AS plain FROM events"
+    f"""WITH w AS (SELECT event_id, {WALL.format("", "to_seconds(event_id % 2000 * 61)")} AS w FROM events)
+    SELECT event_id, w + INTERVAL 1 HOUR * CASE WHEN w >= TIMESTAMP '2024-03-10 02:00:00' AND w < TIMESTAMP '2024-11-03 02:00:00' THEN 4 ELSE 5 END AS utc,
+    w - INTERVAL 330 MINUTE AS east, w AS plain, w + INTERVAL 90 MINUTE AS stated FROM w"""
 )
 def source_timezone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    return table(spark, sf_dir, "events").select("event_id", dates.to_datetime(text, "Asia/Kolkata").alias("utc"), dates.to_datetime(text).alias("plain"))
+    wall = F.expr(WALL.format("_NTZ", "make_dt_interval(0, 0, 0, event_id % 2000 * 61)"))
+    df = table(spark, sf_dir, "events").select("event_id", F.date_format(wall, "yyyy-MM-dd HH:mm:ss").alias("text"))
+    text, zoned = F.col("text"), F.concat("text", F.lit("-01:30"))
+    return df.select(
+        "event_id", dates.to_datetime(text, "America/New_York").alias("utc"), dates.to_datetime(text, "Asia/Kolkata").alias("east"),
+        dates.to_datetime(text).alias("plain"), dates.to_datetime(zoned, "America/New_York").alias("stated"),
+    )
 
 
 @query(
