@@ -88,7 +88,7 @@ class LoadConfig:
     schema_lock_timeout: float = 30.0
     staging_prefix: str = "_stream__"
     keep_orphaned_staging: bool = False
-    # accepted for compatibility; partitions and the columnar writer make them moot
+    # accepted for compatibility; partitions and the columnar writer make them moot (a warning says so)
     use_staging_insert: bool = True
     bulk_load: bool = False
     insert_stack: int = 100
@@ -128,6 +128,11 @@ class LoadConfig:
             except Exception as e:
                 raise ValueError(f"unknown time zone {self.source_time_zone!r}") from e
 
+    def moot(self) -> list[str]:
+        """Settings that were changed and have no effect here."""
+        plain = {"use_staging_insert": True, "bulk_load": False, "insert_stack": 100, "connection_limit": 5}
+        return [n for n, v in plain.items() if getattr(self, n) != v]
+
     @property
     def profile(self) -> Profile:
         return PROFILES[self.dialect]

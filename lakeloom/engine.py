@@ -18,20 +18,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import LoadConfig
-from .errors import DuplicateKeyError, LoadError, RejectedRowsError, UniqueConflictError
+from .errors import ConcurrentLoadError, DuplicateKeyError, LoadError, RejectedRowsError, UniqueConflictError
 from .functions.numbers import dataset_separators
 from .functions.values import store_value
 from .header import ColumnDef, Header, overlay
 from .operators import merge, rejects, reshape
 from .operators.evolve import project
 from .plans import ddl
-from .plans.diff import Changes, apply_gates, blocked, compare
+from .plans.diff import Changes, apply_gates, blocked, compare, warnings_of
 from .plans.keys import apply_surrogate, predict_indexes
 from .plans.profile import infer_header, quoted
 from .plans.shape import add_stamps, history_name, split_parts, too_wide
 from .sources.catalog import Catalog
 from .sources.rows import as_frame, frames
-from .sources.scratch import materialize
+from .sources.scratch import materialize, remove, spread
 from .sources.store import Store
 
 HISTORY_TIME = "dwh_as_at"
@@ -78,18 +78,22 @@ class TablePreview:
     current: Header | None
     ddl: list[str]
     blocked: list[str]
+    not_restorable: list[str] = field(default_factory=list)
 
 
 class Engine:
     def __init__(self, spark: SparkSession, path: str, config: LoadConfig | None = None):
         self.spark, self.config = spark, config or LoadConfig()
         self.store = Store(spark, path)
+        for name in self.config.moot():
+            self.config.log("warn", f"{name} has no effect: Spark's partitions and columnar writer decide")
         self.catalog = Catalog(self.store, self.config)
 
     # Planning
 
     def plan(self, table: str, df: DataFrame, config: LoadConfig, primary_key: Sequence[str] = (), assume: Mapping[str, ColumnDef] | None = None, existing: Header | None = None, freeze_keys: bool = False, extend_key: bool = False) -> list[Unit]:
         """Units of a load: the table itself or its parts, and its nested tables."""
+        whole, df = df, spread(df)
         pair = dataset_separators(df, config)
         if pair:
             config = config.with_(thousands_separator=pair[0], decimal_separator=pair[1])
@@ -107,7 +111,7 @@ class Engine:
         header = apply_surrogate(header, current, config)
         if config.add_timestamps:
             header = add_stamps(header)
-        return self._units(table, df, current, header, config, pair)
+        return self._units(table, whole, current, header, config, pair)
 
     def _current(self, table: str) -> Header | None:
         own = self.store.header(table)
@@ -145,13 +149,19 @@ class Engine:
         for u in self.plan(table, as_frame(self.spark, data), config, primary_key):
             action = "create" if u.current is None else "alter" if u.changes.exist() and u.header != u.current else "noop"
             statements = ddl.create_table(u.table, u.header, config) if u.current is None else ddl.alter_table(u.table, u.current, u.header, u.changes, config)
-            out.append(TablePreview(u.table, action, u.header, u.current, statements if action != "noop" else [], blocked(u.changes, config)))
+            out.append(TablePreview(u.table, action, u.header, u.current, statements if action != "noop" else [], blocked(u.changes, config), warnings_of(u.changes) if action == "alter" else []))
         return out
 
     # Loading
 
     def load(self, table: str, data: DataFrame | list[Mapping], primary_key: Sequence[str] = (), assume: Mapping[str, ColumnDef] | None = None, mark: tuple[str, int] | None = None, freeze_keys: bool = False, **options: object) -> LoadResult:
-        """Load a batch; the result tells success, counts and warnings."""
+        """Load a batch; the result tells success, counts and warnings.
+
+        A load is planned and published on one state of the store.  If another
+        load publishes one of its tables meanwhile, it is done again on top of
+        that, up to ``max_retries`` times; with ``use_schema_lock`` loads of one
+        table wait for each other instead.
+        """
         began, started = time.monotonic(), time.time()
         result = LoadResult(False, table)
         try:
@@ -159,27 +169,15 @@ class Engine:
             df = as_frame(self.spark, data)
             guard = self.store.files.lock(f"{self.store.path}/_locks/{table}.lock", config.schema_lock_timeout) if config.use_schema_lock else nullcontext()
             with guard:
-                t = time.monotonic()
-                units = self.plan(table, df, config, primary_key, assume, freeze_keys=freeze_keys)
-                result.phases["plan"] = int((time.monotonic() - t) * 1000)
-                result.tables = [u.table for u in units]
-                for u in units:
-                    result.warnings += [f"{u.table}: {w}" for w in blocked(u.changes, config)]
-                    if config.schema_history and config.detect_drift:
-                        self.catalog.check_drift(u.table, u.current)
-            for w in result.warnings:
-                config.log("warn", w)
-            versions = {u.table: self.catalog.start(u.table, u.current, u.changes.as_json()) if config.schema_history and (u.current is None or u.header != u.current) else None for u in units}
-            t = time.monotonic()
-            try:
-                self._apply(units, config, result, mark)
-            except Exception:
-                for name, v in versions.items():
-                    self.catalog.finish(name, v, "rolled_back")
-                raise
-            for u in units:
-                self.catalog.finish(u.table, versions[u.table], "applied", u.header)
-            result.phases["load"] = int((time.monotonic() - t) * 1000)
+                for left in reversed(range(config.max_retries)):
+                    result = LoadResult(False, table)
+                    try:
+                        with self.store.pinned():
+                            self._attempt(table, df, config, result, primary_key, assume, mark, freeze_keys)
+                        break
+                    except ConcurrentLoadError:
+                        if not left:
+                            raise
             result.success = True
         except Exception as e:
             result.error, result.error_code = str(e), getattr(e, "code", None) or getattr(e, "getCondition", lambda: None)() or type(e).__name__
@@ -187,6 +185,31 @@ class Engine:
         self._report(result, started)
         return result
 
+    def _attempt(
+        self, table: str, df: DataFrame, config: LoadConfig, result: LoadResult, primary_key: Sequence[str], assume: Mapping[str, ColumnDef] | None, mark: tuple[str, int] | None, freeze_keys: bool
+    ) -> None:
+        t = time.monotonic()
+        units = self.plan(table, df, config, primary_key, assume, freeze_keys=freeze_keys)
+        result.phases["plan"] = int((time.monotonic() - t) * 1000)
+        result.tables = [u.table for u in units]
+        for u in units:
+            result.warnings += [f"{u.table}: {w}" for w in blocked(u.changes, config)]
+            if config.schema_history and config.detect_drift:
+                self.catalog.check_drift(u.table, u.current)
+        for w in result.warnings:
+            config.log("warn", w)
+        versions = {u.table: self.catalog.start(u.table, u.current, u.changes.as_json()) if config.schema_history and (u.current is None or u.header != u.current) else None for u in units}
+        t = time.monotonic()
+        try:
+            self._apply(units, config, result, mark)
+        except Exception:
+            for name, v in versions.items():
+                self.catalog.finish(name, v, "rolled_back")
+            raise
+        for u in units:
+            self.catalog.finish(u.table, versions[u.table], "applied", u.header)
+        result.phases["load"] = int((time.monotonic() - t) * 1000)
+
     def _report(self, r: LoadResult, started: float) -> None:
         run = {
             "run_id": uuid.uuid4().hex, "table_name": r.table, "started_at": datetime.fromtimestamp(started, UTC).isoformat(), "finished_at": datetime.now(UTC).isoformat(),
@@ -208,17 +231,15 @@ class Engine:
         run_time = F.lit(now).cast("timestamp_ntz")
         tables: dict[str, tuple[DataFrame | None, Header]] = {}
         appends: dict[str, tuple[DataFrame, Header]] = {}
+        replaced: dict[str, set[str]] = {}
         refused: list[DataFrame] = []
+        stage: list[DataFrame] = []
         for u in units:
-            df, typed = self._typed(u, config)
-            checks = {n: c for n, c in config.checks.items()}
-            reason = rejects.reason_of(df, typed, Header({n: c for n, c in u.header.items() if n in typed}), checks)
+            marked, typed, counts = self._staged(u, config, result)
+            stage.append(marked)
             filled = {n: run_time for n, c in u.header.items() if c.calculated and n not in typed}
-            marked = df.select(F.monotonically_increasing_id().alias(ORDINAL), reason.alias("error_message"), *[v.alias(c) for c, v in typed.items()], F.struct(*[quoted(c) for c in df.columns]).alias("_raw"))
-            marked = materialize(marked, "staged")
             bad = marked.filter(F.col("error_message").isNotNull())
             good = marked.filter(F.col("error_message").isNull()).drop("error_message", "_raw")
-            counts = marked.agg(F.count(F.lit(1)), F.count("error_message")).first()
             if u is units[0]:
                 result.rows = counts[0]
             keys = [k for k in u.header.primary_keys if k in typed]
@@ -264,13 +285,20 @@ class Engine:
                 continue
             keep = [n for n, c in u.header.items() if c.calculated and not c.updated_calculated]
             insert_only = config.insert_type == "INSERT"
+            shape = [[(n, c.data_type) for n, c in h.items()] for h in (u.current, u.header)]
+            own = self.store.read(u.table) if shape[0] == shape[1] and not u.changes.rename else None  # single files can stay as they are
+            if own is not None:
+                hits, files = merge.matched(own, staged, keys)
+            else:
+                hits, files = staged.select(*[quoted(k) for k in keys]).join(target.select(*[quoted(k) for k in keys]), keys, "left_semi").count(), set()
             if u is units[0]:
-                mine, theirs = ([quoted(k) for k in keys] for _ in range(2))
-                there = target.select(*theirs).withColumn("_there", F.lit(1))
-                total, matched = staged.select(*mine).join(there, keys, "left").agg(F.count(F.lit(1)), F.count("_there")).first()
-                result.inserted, result.updated = total - matched, 0 if insert_only else matched
-            if insert_only and u is units[0] and matched:
+                total = staged.count()
+                result.inserted, result.updated = total - hits, 0 if insert_only else hits
+            if insert_only and u is units[0] and hits:
                 raise DuplicateKeyError(f"{u.table}: a key of the batch is in the table")
+            if own is not None:  # only files that hold a key of the batch are read and written again
+                target = project(self.store.read(u.table, files=files), u.current, u.header, u.changes.rename, filled)
+                replaced[u.table] = files
             if config.add_history and (not config.history_tables or u.table in config.history_tables):
                 compared = [c for c in u.header.updatable() if not u.header[c].calculated]
                 self._history(u, merge.before_image(target, staged, keys, compared), run_time, tables, appends)
@@ -283,7 +311,46 @@ class Engine:
             rows = materialize(rows, "rejects")
             result.rejected = rows.count()
             appends[name] = (rows, Header.from_struct(rows.schema))
-        self.store.commit(tables, appends, mark)
+        self.store.commit(tables, appends, mark, replaced)
+        for marked in stage:
+            remove(marked)
+
+    def _staged(self, u: Unit, config: LoadConfig, result: LoadResult) -> tuple[DataFrame, dict[str, Column], tuple[int, int]]:
+        """The batch with its typed values, the reason why a row is refused, and the counts of all rows and refused ones.
+
+        Where refused rows have a table to go to, the columns they do not fit are
+        widened first, round by round, up to ``max_retries`` rounds in all: their
+        header is inferred, and what the table allows is taken over (R3, R4).
+        """
+        for left in reversed(range(config.max_retries)):
+            df, typed = self._typed(u, config)
+            reason = rejects.reason_of(df, typed, Header({n: c for n, c in u.header.items() if n in typed}), dict(config.checks))
+            rows = spread(df.withColumn(ORDINAL, F.monotonically_increasing_id()))
+            marked = rows.select(ORDINAL, reason.alias("error_message"), *[v.alias(c) for c, v in typed.items()], F.struct(*[quoted(c) for c in df.columns]).alias("_raw"))
+            marked = materialize(marked, "staged")
+            counts = tuple(marked.agg(F.count(F.lit(1)), F.count("error_message")).first())
+            if not (left and counts[1] and config.rejected_rows_table) or config.safe_mode:
+                break
+            wider = self._widened(u, marked.filter(F.col("error_message").isNotNull()).select("_raw.*"), config)
+            if wider == u.header:
+                break
+            result.warnings.append(f"{u.table}: widened for rows that did not fit: {', '.join(n for n in wider if wider[n] != u.header[n])}")
+            u.header = wider
+            remove(marked)
+        return marked, typed, counts
+
+    def _widened(self, u: Unit, refused: DataFrame, config: LoadConfig) -> Header:
+        """The unit's header with types and sizes that hold the refused rows; keys, constraints and declared types stay."""
+        if u.separators:
+            config = config.with_(thousands_separator=u.separators[0], decimal_separator=u.separators[1])
+        found, _, _ = infer_header(refused, config.with_(boolean_columns=(), sampling=0.0), voted=True)
+        _, merged = compare(u.header, Header((n, c) for n, c in found.items() if n in u.header), config)
+        wider = u.header.copy()
+        for n in found:
+            if n in wider and n not in config.boolean_columns:
+                m = merged[n]
+                wider.change(n, type=m.type, length=m.length, decimal=m.decimal, previous_type=m.previous_type)
+        return wider
 
     def _numbered(self, u: Unit, staged: DataFrame, target: DataFrame | None) -> DataFrame:
         """Numbers for a surrogate column."""
@@ -295,23 +362,25 @@ class Engine:
 
     def _without_conflicts(self, u: Unit, good: DataFrame, target: DataFrame | None, keys: list[str], config: LoadConfig, result: LoadResult) -> tuple[DataFrame, DataFrame | None]:
         """Rows that break no unique column, and those that do."""
-        unique = [c for c in u.header.unique_columns if c in good.columns]
+        unique = [g for g in u.header.unique_groups if all(c in good.columns for c in g)]
         if target is None or not keys or not unique:
             return good, None
-        found = {r["unique_index"]: r["conflicts"] for r in merge.unique_conflicts(target, good, keys, [[c] for c in unique]).collect()}
-        bad = [c for c in unique if found[c]]
+        found = {r["unique_index"]: r["conflicts"] for r in merge.unique_conflicts(target, good, keys, unique).collect()}
+        bad = [g for g in unique if found[",".join(g)]]
         if not bad:
             return good, None
         if config.drop_unique_constraints:
-            for c in bad:
-                u.header.change(c, unique=False)
-                result.warnings.append(f"{u.table}: {c} is no longer unique")
+            for g in bad:
+                for c in g:
+                    u.header.change(c, unique=False, unique_name=None)
+                result.warnings.append(f"{u.table}: {', '.join(g)} is no longer unique")
             return good, None
         if not config.rejected_rows_table:
-            raise UniqueConflictError(f"{u.table}: {', '.join(f'{found[c]} conflicts on {c}' for c in bad)}")
+            conflicts = ", ".join(f"{found[','.join(g)]} conflicts on {','.join(g)}" for g in bad)
+            raise UniqueConflictError(f"{u.table}: {conflicts}")
         clashes = None
-        for c in bad:
-            rows = merge.conflicting_rows(target, good, keys, [c]).withColumn("error_message", F.lit(f"{c}: value is in another row"))
+        for g in bad:
+            rows = merge.conflicting_rows(target, good, keys, g).withColumn("error_message", F.lit(f"{','.join(g)}: value is in another row"))
             clashes = rows if clashes is None else clashes.unionByName(rows)
         clashes = materialize(clashes.dropDuplicates([ORDINAL]), "clashes")
         return good.join(clashes.select(ORDINAL), ORDINAL, "left_anti"), clashes

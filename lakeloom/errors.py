@@ -13,6 +13,12 @@ class SchemaDriftError(LoadError):
     code = "schema_drift"
 
 
+class ConcurrentLoadError(LoadError):
+    """Another load has published the table since this one was planned."""
+
+    code = "concurrent_load"
+
+
 class DuplicateKeyError(LoadError):
     code = "duplicate_key"
 

@@ -19,16 +19,17 @@ NOT_CATEGORICAL = ("boolean", "tinyint", "smallint", "binary", "datetimetz", "da
 NUMBER_CHAIN = INT_GROUP + FLOAT_GROUP
 
 
-def is_numeric(t: str) -> bool:
-    return t in NUMBER_CHAIN
-
-
 def is_integer(t: str) -> bool:
-    return t in INT_GROUP
+    """Whole numbers of a fixed width: neither boolean nor binary, nor ``numeric``, which has a scale."""
+    return t in INT_GROUP and t not in ("boolean", "binary", "numeric")
 
 
 def is_floating(t: str) -> bool:
-    return t in FLOAT_GROUP
+    return t in FLOAT_GROUP or t == "numeric"
+
+
+def is_numeric(t: str) -> bool:
+    return is_integer(t) or is_floating(t)
 
 
 def is_text(t: str) -> bool:
@@ -40,7 +41,7 @@ def is_boolean(t: str) -> bool:
 
 
 def is_date(t: str) -> bool:
-    return t in DATE_GROUP and t != "time"
+    return t in ("date", "datetime", "datetimetz")
 
 
 def is_time(t: str) -> bool:

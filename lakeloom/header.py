@@ -65,6 +65,16 @@ class Header(dict):
     def unique_columns(self) -> list[str]:
         return [n for n, c in self.items() if c.unique and not c.primary]
 
+    @property
+    def unique_groups(self) -> list[list[str]]:
+        """Columns of each unique constraint: single ones, and those that share the name of one."""
+        named: dict[str, list[str]] = {}
+        for n, c in self.items():
+            if c.unique and c.unique_name:
+                named.setdefault(c.unique_name, []).append(n)
+        several = [g for g in named.values() if len(g) > 1]
+        return [[n] for n in self.unique_columns if not any(n in g for g in several)] + several
+
     def updatable(self) -> list[str]:
         """Columns that an update overwrites: not keys, not values calculated once."""
         return [n for n, c in self.items() if not c.primary and (not c.calculated or c.updated_calculated)]

@@ -78,25 +78,54 @@ def before_image(target: DataFrame, staged: DataFrame, keys: Sequence[str], comp
 
 
 def unique_conflicts(target: DataFrame, staged: DataFrame, keys: Sequence[str], unique: Sequence[Sequence[str]]) -> DataFrame:
-    """For each unique index: pairs of a target and a staged row of different keys and equal values.
+    """For each unique index: how many pairs of a target and a staged row have different keys and equal values.
 
-    An equi-join on the unique columns with the keys' difference as a residual,
-    in place of a comparison of all pairs.  Null values conflict with nothing.
+    No pair is made: rows are counted by value on both sides, the products are
+    summed, and those of equal key, counted by value and key, are taken off.
+    Null values conflict with nothing.
     """
+
+    def pairs(columns: Sequence[str], nullable: Sequence[str]) -> DataFrame:
+        counted = [df.groupBy(*[quoted(c) for c in (*columns, *nullable)]).agg(F.count(F.lit(1)).alias("_n")).alias(a) for df, a in ((target, "t"), (staged, "s"))]
+        same = [F.col(f"t.`{c}`") == F.col(f"s.`{c}`") for c in columns]
+        joined = counted[0].join(counted[1], reduce(and_, same + ([_on("t", "s", nullable)] if nullable else [])))
+        return joined.agg(F.coalesce(F.sum(F.col("t._n") * F.col("s._n")), F.lit(0)).alias("pairs"))
+
     parts = []
     for columns in unique:
-        same = reduce(and_, [F.col(f"t.`{c}`") == F.col(f"s.`{c}`") for c in columns])
-        other = ~_on("t", "s", keys) if keys else F.lit(True)
-        joined = target.alias("t").join(staged.alias("s"), same & other)
-        parts.append(joined.agg(F.count(F.lit(1)).alias("conflicts")).select(F.lit(",".join(columns)).alias("unique_index"), "conflicts"))
-    return reduce(DataFrame.unionAll, parts)
+        index = F.lit(",".join(columns)).alias("unique_index")
+        parts.append(pairs(columns, []).select(index, "pairs"))
+        if keys:
+            parts.append(pairs(columns, [k for k in keys if k not in columns]).select(index, (-F.col("pairs")).alias("pairs")))
+    return reduce(DataFrame.unionAll, parts).groupBy("unique_index").agg(F.sum("pairs").cast("long").alias("conflicts"))
+
+
+def matched(target: DataFrame, staged: DataFrame, keys: Sequence[str]) -> tuple[int, set[str]]:
+    """Staged rows whose key the target has, and the names of the target's Parquet files that hold one; reads the target's keys only.
+
+    The range of the staged keys goes to the target's scan, so that files and row
+    groups outside it are not read.
+    """
+    first = keys[0]
+    low, high = staged.agg(F.min(quoted(first)), F.max(quoted(first))).first()
+    there = target.select(*[quoted(k) for k in keys], F.col("_metadata.file_name").alias("_file"))
+    if low is not None and staged.filter(quoted(first).isNull()).isEmpty():
+        there = there.filter(quoted(first).between(F.lit(low), F.lit(high)))
+    row = there.alias("t").join(staged.select(*[quoted(k) for k in keys]).alias("s"), _on("t", "s", keys)).agg(F.count(F.lit(1)), F.collect_set("_file")).first()
+    return row[0], set(row[1])
 
 
 def conflicting_rows(target: DataFrame, staged: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Staged rows that a unique index of the target refuses."""
+    """Staged rows that a unique index of the target refuses: the value is there under another key.
+
+    Of each value the target sends at most the two keys that come first and
+    last: if both are the staged row's own, there is no other.
+    """
+    key = F.struct(*[quoted(k) for k in keys])
+    ends = target.groupBy(*[quoted(c) for c in columns]).agg(F.min(key).alias("_least"), F.max(key).alias("_most")).alias("t")
     same = reduce(and_, [F.col(f"t.`{c}`") == F.col(f"s.`{c}`") for c in columns])
-    wanted = list(dict.fromkeys([*keys, *columns]))
-    return staged.alias("s").join(target.select(*[quoted(c) for c in wanted]).alias("t"), same & ~_on("t", "s", keys), "left_semi")
+    own = F.struct(*[F.col(f"s.`{k}`") for k in keys])
+    return staged.alias("s").join(ends, same & ~(own.eqNullSafe(F.col("t._least")) & own.eqNullSafe(F.col("t._most"))), "left_semi")
 
 
 def number_new_rows(df: DataFrame, name: str, start: int, order: Sequence[Column] = ()) -> DataFrame:

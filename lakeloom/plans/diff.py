@@ -125,5 +125,5 @@ def apply_gates(old: Header | None, changes: Changes, merged: Header, config: Lo
 
 
 def warnings_of(changes: Changes) -> list[str]:
-    """What a roll-back could not restore on a target that changes in place."""
+    """What a roll-back could not restore on a target that changes in place (D13); previews show it beside the statements."""
     return [f"dropped column {n} could not be restored" for n in changes.drop] + [f"{n} was made nullable" for n in changes.nullable]

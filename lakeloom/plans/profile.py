@@ -8,7 +8,7 @@ no row is multiplied by the number of columns.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,7 @@ from ..functions.typing import is_nullish, value_type
 from ..functions.values import as_text, canonical_text, outside_hint
 from ..header import ColumnDef, Header
 
+SAMPLE_SEED = 17  # so that a load can be repeated
 RSD = 0.02  # relative standard error of distinct estimates
 NEAR = 0.1  # an estimated share this near a threshold, five standard errors, is counted exactly
 TEXT = (T.StringType, T.CharType, T.VarcharType)
@@ -125,12 +126,12 @@ def distinct_count(df: DataFrame, name: str, local: str, config: LoadConfig) ->
     return df.select(v.alias("v")).filter("v is not null").distinct().agg(F.count(F.lit(1)).alias("n"))
 
 
-def profile(df: DataFrame, config: LoadConfig, exact: bool = False) -> tuple[dict[str, ColumnStats], int]:
-    """Statistics of every column, and the row count."""
+def profile(df: DataFrame, config: LoadConfig, exact: bool = False, distinct: bool = True) -> tuple[dict[str, ColumnStats], int]:
+    """Statistics of every column, and the row count; without ``distinct``, distinct values are not counted."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     if not fields:
         return {}, df.count()
-    wanted = {n: measures(k, config, i) for i, (n, k) in enumerate(fields.items())}
+    wanted = {n: measures(k, config, i, distinct) for i, (n, k) in enumerate(fields.items())}
     columns = [c.alias(f"c{i}_{m}") for i, ms in enumerate(wanted.values()) for m, c in ms.items()]
     staged = df.select(*[c.alias(a) for i, (n, k) in enumerate(fields.items()) for a, c in value_columns(n, k, config, i).items()])
     row = staged.agg(F.count(F.lit(1)).alias("rows"), *columns).first()
@@ -139,6 +140,9 @@ def profile(df: DataFrame, config: LoadConfig, exact: bool = False) -> tuple[dic
     near: dict[str, DataFrame] = {}
     for n, s in found.items():
         s["type_set"] = whole_type(s["low"], s["high"]) if "low" in s else tuple(from_mask(s["types"]))
+        if not distinct:
+            s["distinct"] = 0
+            continue
         share = s["distinct"] / s["values"] if s["values"] else 0
         close = any(abs(share - t) <= NEAR * t for t in (config.categorical, config.pseudo_unique, 1.0)) or s["distinct"] <= 2
         if s["values"] and (exact or close or share > 1):
@@ -195,13 +199,18 @@ def infer_header(df: DataFrame, config: LoadConfig, voted: bool = False) -> tupl
     pair = config.separators if voted else dataset_separators(df, config)
     if pair:
         chosen = config.with_(thousands_separator=pair[0], decimal_separator=pair[1])
-    stats, rows = profile(df, chosen)
+    sampled: dict[str, ColumnStats] = {}
+    rows = df.count() if config.sampling else 0
+    if config.sampling and rows > config.sampling_minimum:
+        stats, rows, sampled = profile_by_sample(df, rows, chosen)
+    else:
+        stats, rows = profile(df, chosen)
     header = Header()
     unclear = []
     for name, s in stats.items():
         if not s.values:  # deferred until a load brings a value (I13)
             continue
-        header[name] = column_of(name, s, chosen)
+        header[name] = column_of(name, s, chosen, sampled.get(name))
         if s.ambiguous and header[name].type in NUMBER_CHAIN and not pair:
             unclear.append(name)
     if unclear:
@@ -209,7 +218,27 @@ def infer_header(df: DataFrame, config: LoadConfig, voted: bool = False) -> tupl
     return header, stats, rows
 
 
-def column_of(name: str, s: ColumnStats, config: LoadConfig) -> ColumnDef:
+def profile_by_sample(df: DataFrame, rows: int, config: LoadConfig) -> tuple[dict[str, ColumnStats], int, dict[str, ColumnStats]]:
+    """Statistics with distinct values from a sample (I4-I6); also the sample's own.
+
+    Types and lengths are of all rows.  How often values repeat is learned from
+    ``sampling`` of the rows, ``sampling_minimum`` at least; a column whose values
+    are all different there is counted in full.
+    """
+    size = max(round(rows * config.sampling), config.sampling_minimum)
+    stats, rows = profile(df, config, distinct=False)
+    part, _ = profile(df.sample(min(1.0, size / rows), SAMPLE_SEED), config, exact=True)
+    unique = [n for n, s in part.items() if s.values and s.distinct == s.values]
+    whole = {}
+    if unique:
+        counts = [distinct_count(df, n, collate(stats[n].types), config).select(F.lit(n).alias("name"), "n") for n in unique]
+        whole = {r["name"]: r["n"] for r in reduce(DataFrame.unionAll, counts).collect()}  # one row a column
+    # A sampled count rules no key out: only full ones are exact.
+    stats = {n: replace(s, distinct=whole.get(n, s.values), exact=n in whole) for n, s in stats.items()}
+    return stats, rows, {n: s for n, s in part.items() if s.values and n not in whole}
+
+
+def column_of(name: str, s: ColumnStats, config: LoadConfig, sampled: ColumnStats | None = None) -> ColumnDef:
     kind = "varchar" if name in config.force_string_columns else "boolean" if name in config.boolean_columns else collate(s.types)
     cap = config.scale_cap
     scale = min(s.scale, cap)
@@ -233,7 +262,8 @@ def column_of(name: str, s: ColumnStats, config: LoadConfig) -> ColumnDef:
             kind = "longtext"
         elif s.bytes >= 65_535 and kind in ("varchar", "text"):
             kind = "mediumtext"
-    share = s.distinct / s.values
+    seen = sampled or s
+    share = seen.distinct / seen.values
     flags: dict[str, bool] = {}
     if s.distinct == s.values and s.exact:
         flags["unique"] = True
@@ -241,7 +271,7 @@ def column_of(name: str, s: ColumnStats, config: LoadConfig) -> ColumnDef:
         flags["pseudounique"] = True
     elif share <= config.categorical and kind not in NOT_CATEGORICAL:
         flags["categorical"] = True
-    elif s.distinct == 1 and not s.nulls:
+    elif seen.distinct == 1 and not s.nulls:
         flags["single_value"] = True
     if flags.get("unique") and max(length, s.bytes) > config.max_key_length:
         flags["unique"] = False

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,10 @@ from contextlib import contextmanager
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from ..errors import SchemaLockTimeoutError
+
+STALE_SECONDS = 3600.0  # a lock without a sign of life for so long has no holder
+
 
 class Files:
     def __init__(self, spark: SparkSession):
@@ -75,20 +80,54 @@ class Files:
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
     @contextmanager
-    def lock(self, path: str, timeout: float, stale: float = 3600.0) -> Iterator[None]:
-        """Hold a lock file; one older than ``stale`` seconds is taken over."""
-        from ..errors import SchemaLockTimeoutError
-
-        end = time.monotonic() + timeout
-        while not self.create(path, str(time.time())):
-            held = self.read(path)
-            if held and held.replace(".", "", 1).isdigit() and time.time() - float(held) > stale:
-                self.delete(path)
-                continue
+    def lock(self, path: str, timeout: float, stale: float = STALE_SECONDS) -> Iterator[None]:
+        """Hold a lock file, which states its holder and the time of its last sign of life.
+
+        A holder renews it while it works, so only one that is gone for ``stale``
+        seconds is taken over; and it removes no lock but its own.
+        """
+        token, end = uuid.uuid4().hex, time.monotonic() + timeout
+        while not self.create(path, f"{token} {time.time()}"):
+            self._take_over(path, stale)
             if time.monotonic() > end:
                 raise SchemaLockTimeoutError(f"no lock on {path} within {timeout} s")
             time.sleep(0.05)
+        done = threading.Event()
+        beat = threading.Thread(target=self._renew, args=(path, token, done, stale / 4), daemon=True)
+        beat.start()
         try:
             yield
         finally:
-            self.delete(path)
+            done.set()
+            beat.join()
+            if self._held(path)[0] == token:
+                self.delete(path)
+
+    def _held(self, path: str) -> tuple[str, float]:
+        """Token and last sign of life of a lock's holder."""
+        try:
+            token, _, at = (self.read(path) or "").partition(" ")
+            return token, float(at)
+        except (ValueError, Py4JJavaError):  # it is being written, or has just gone
+            return "", time.time()
+
+    def _renew(self, path: str, token: str, done: threading.Event, every: float) -> None:
+        while not done.wait(every):
+            if self._held(path)[0] == token:
+                self.replace(path, f"{token} {time.time()}")
+
+    def _take_over(self, path: str, stale: float) -> None:
+        """Put a lock aside whose holder is gone; of several that try, one can rename it, and a live lock is put back."""
+        token, at = self._held(path)
+        if time.time() - at <= stale:
+            return
+        aside = f"{path}.{uuid.uuid4().hex}"
+        try:
+            self.move(path, aside)
+        except (OSError, Py4JJavaError):
+            return
+        now, _ = self._held(aside)
+        if now != token and not self.exists(path):
+            self.move(aside, path)
+        else:
+            self.delete(aside)

@@ -93,6 +93,19 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+SPREAD_BYTES = 32 << 20  # bytes a core up to which a frame is dealt over all cores
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A frame of few bytes in as many partitions as there are cores; a larger one has enough of its own.
+
+    Small files are one partition each, however much work their values take.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SPREAD_BYTES * cores else df
+
+
 def col(name: str) -> Column:
     """A column by its literal name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

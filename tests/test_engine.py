@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lakeloom.config import LoadConfig
 from lakeloom.engine import Engine
 from lakeloom.errors import LoadError, SchemaDriftError, SchemaLockTimeoutError
+from lakeloom.functions import typesystem as ts
 from lakeloom.header import ColumnDef, Header, constraint_name, is_header
 from lakeloom.operators import merge, reshape
 from lakeloom.plans import ddl, diff, keys, profile, shape
@@ -412,3 +413,127 @@ def test_numbering(spark):
     df = spark.range(100).select((F.col("id") * 7 % 100).alias("x")).repartition(5)
     got = merge.number_new_rows(df, "n", 5, [F.col("x")]).collect()
     assert all(r["n"] == r["x"] + 5 for r in got)
+
+
+def test_interleaved_loads_keep_both(engine):
+    """A load that another one overtakes between plan and commit is done again on top of it."""
+    e = engine()
+    assert e.load("t", [{"id": i, "v": "a"} for i in range(4)], ["id"]).success
+    other, apply, calls = engine(), e._apply, []
+
+    def overtaken(*args):
+        if not calls:
+            calls.append(other.load("t", [{"id": 1, "v": "b"}, {"id": 10, "v": "b"}]))
+        return apply(*args)
+
+    e._apply = overtaken
+    r = e.load("t", [{"id": 2, "v": "c"}, {"id": 11, "v": "c"}])
+    assert calls[0].success and r.success and (r.inserted, r.updated) == (1, 1)
+    assert rows_of(e.read("t"), "id", "v") == [(0, "a"), (1, "b"), (2, "c"), (3, "a"), (10, "b"), (11, "c")]
+    calls.clear()
+    e.config = e.config.with_(max_retries=1)
+    r = e.load("t", [{"id": 3, "v": "d"}])
+    assert not r.success and r.error_code == "concurrent_load"
+    assert rows_of(e.read("t"), "id", "v")[3] == (3, "a") and calls[0].success
+
+
+def test_two_creations_of_one_table(engine):
+    e, other = engine(), engine()
+    apply, calls = e._apply, []
+
+    def overtaken(*args):
+        if not calls:
+            calls.append(other.load("t", [{"id": 1, "v": "b"}], ["id"]))
+        return apply(*args)
+
+    e._apply = overtaken
+    assert e.load("t", [{"id": 2, "v": "c"}], ["id"]).success and calls[0].success
+    assert rows_of(e.read("t"), "id", "v") == [(1, "b"), (2, "c")]
+
+
+def test_only_touched_files_are_written_again(engine):
+    e = engine()
+    for start in (0, 100, 200):
+        assert e.load("t", [{"id": i, "v": "a"} for i in range(start, start + 100)], ["id"]).success
+    before = set(e.store.parquet_files("t"))
+    r = e.load("t", [{"id": 150, "v": "b"}, {"id": 999, "v": "b"}])
+    assert r.success and (r.inserted, r.updated) == (1, 1)
+    after = set(e.store.parquet_files("t"))
+    held = {f.rsplit("/", 1)[1] for f in before - after}
+    assert len(before - after) == 1 and len(before) > 3, held
+    assert e.read("t").count() == 301 and e.read("t").filter("v = 'b'").count() == 2
+    assert e.load("t", [{"id": 5000, "v": "c"}]).success and after <= set(e.store.parquet_files("t"))
+
+
+def test_lock_of_a_live_holder_stays(engine, tmp_path):
+    files, path = engine().store.files, f"file://{tmp_path}/x.lock"
+    with files.lock(path, 1, stale=0.8):
+        time.sleep(1.5)  # the holder renews it
+        with pytest.raises(SchemaLockTimeoutError), files.lock(path, 0.3, stale=0.8):
+            pass
+    assert not files.exists(path)
+    files.create(path, f"gone {time.time() - 100}")
+    with files.lock(path, 1, stale=0.8):
+        files.replace(path, f"another {time.time()}")
+    assert files.read(path).startswith("another")  # a holder removes no lock but its own
+
+
+def test_refused_rows_widen_the_table(engine):
+    """Rows that a declared column does not fit: it is widened for those it can hold, checks refuse the rest."""
+    said = {"id": ColumnDef("int", primary=True), "v": ColumnDef("tinyint", 3), "t": ColumnDef("varchar", 2), "w": ColumnDef("int", 5)}
+    rows = [{"id": 1, "v": "5", "t": "ab", "w": "1"}, {"id": 2, "v": "70000", "t": "abcdef", "w": "2"}, {"id": 3, "v": "6", "t": "x", "w": "-3"}]
+    e = engine(rejected_rows_table="rejects", checks={"w_positive": "w > 0"})
+    r = e.load("t", rows, assume=said)
+    assert r.success and (r.rows, r.inserted, r.rejected) == (3, 2, 1) and any("widened" in w for w in r.warnings)
+    h = e.store.header("t")
+    assert (h["v"].type, h["t"].length, h["w"].type) == ("int", 6, "int")
+    assert rows_of(e.read("t"), "id", "v", "t") == [(1, 5, "ab"), (2, 70000, "abcdef")]
+    e = engine(rejected_rows_table="rejects", max_retries=1)
+    assert e.load("once", rows, assume=said).rejected == 1 and e.store.header("once")["v"].type == "tinyint"
+    e = engine(rejected_rows_table="rejects", safe_mode=True)
+    assert e.load("safe", rows, assume=said).rejected == 1
+
+
+def test_composite_unique_constraints(engine):
+    said = {"id": ColumnDef("int", primary=True), "a": ColumnDef("int", unique=True, unique_name="ab"), "b": ColumnDef("int", unique=True, unique_name="ab"), "c": ColumnDef("varchar", 9)}
+    e = engine(auto_indexing=False)
+    assert e.load("t", [{"id": i, "a": i // 2, "b": i % 2, "c": "x"} for i in range(6)], assume=said).success
+    assert e.store.header("t").unique_groups == [["a", "b"]]
+    assert e.load("t", [{"id": 7, "a": 0, "b": 9, "c": "y"}], assume=said).success  # one of the two is there already
+    r = e.load("t", [{"id": 8, "a": 0, "b": 1, "c": "y"}, {"id": 1, "a": 0, "b": 1, "c": "own"}], assume=said)
+    assert not r.success and r.error_code == "unique_conflict" and "1 conflicts on a,b" in r.error
+    e = engine(auto_indexing=False, rejected_rows_table="rejects")
+    r = e.load("t", [{"id": 8, "a": 0, "b": 1, "c": "y"}, {"id": 1, "a": 0, "b": 1, "c": "own"}], assume=said)
+    assert r.success and r.rejected == 1 and ("own",) in rows_of(e.read("t"), "c")
+
+
+def test_conflicts_are_counted_as_pairs(spark):
+    target = [(i, i % 3 if i % 7 else None, i % 2) for i in range(40)]
+    staged = [(i + 5, i % 4 if i % 5 else None, i % 2) for i in range(30)] + [(None, 1, 1)]
+    t, s = (spark.createDataFrame(rows, "k long, u long, w long") for rows in (target, staged))
+    got = {r[0]: r[1] for r in merge.unique_conflicts(t, s, ["k"], [["u"], ["u", "w"], ["k"]]).collect()}
+    pairs = [(a, b) for a in target for b in staged if a[0] != b[0]]
+    assert got == {"u": sum(a[1] == b[1] is not None for a, b in pairs), "u,w": sum(a[1] == b[1] is not None and a[2] == b[2] for a, b in pairs), "k": 0}
+    refused = sorted(r[0] for r in merge.conflicting_rows(t, s, ["k"], ["u", "w"]).collect() if r[0] is not None)
+    assert refused == sorted({b[0] for a, b in pairs if b[0] is not None and a[1] == b[1] is not None and a[2] == b[2]})
+
+
+def test_sampling(spark):
+    """Types, lengths and uniqueness are of all rows, other flags of the sample."""
+    rows = [{"id": i, "near": i if i != 1999 else 0, "kind": f"k{i % 5}", "wide": 1 if i < 1999 else 70_000, "text": "x" * (1 + (i == 1999) * 50)} for i in range(2000)]
+    h = infer(spark, rows, LoadConfig(sampling=0.05, sampling_minimum=100))
+    assert (h["id"].unique, h["near"].unique, h["near"].pseudounique, h["kind"].categorical) == (True, False, True, True)
+    assert (h["wide"].type, h["text"].length) == ("int", 51) and h.primary_keys == ["id"]
+    assert infer(spark, rows[:50], LoadConfig(sampling=0.5, sampling_minimum=100)) == infer(spark, rows[:50])
+
+
+def test_settings_without_effect_are_named(engine):
+    said = []
+    engine(insert_stack=5, logger={"warn": said.append})
+    assert len(said) == 1 and "insert_stack" in said[0]
+
+
+def test_type_groups():
+    assert [t for t in ts.ALL_TYPES if ts.is_integer(t)] == ["tinyint", "smallint", "int", "bigint"]
+    assert [t for t in ts.ALL_TYPES if ts.is_floating(t)] == ["numeric", "decimal", "double", "exponent"]
+    assert not ts.is_numeric("boolean") and not ts.is_numeric("binary") and ts.is_numeric("numeric") and not ts.is_date("timestamp")
