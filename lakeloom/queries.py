@@ -7,16 +7,19 @@ the same result for another engine.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import LoadConfig
+from .engine import Engine
 from .functions import dates, numbers, typing, values
 from .functions.typesystem import CODE
 from .header import ColumnDef, Header
 from .operators import evolve, merge, rejects, reshape
 from .plans import diff, keys, profile, shape
+from .sources.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = LoadConfig()
@@ -76,15 +79,25 @@ for _name in PROFILED:
 
 
 @query(
-    "SELECT CAST(count(text) AS BIGINT) AS n_values, CAST(max(length(text)) AS BIGINT) AS max_chars, CAST(max(strlen(text)) AS BIGINT) AS max_bytes, "
-    "CAST(count(*) FILTER (WHERE text IN ('', '\\N', 'null')) AS BIGINT) AS n_nullish FROM documents"
+    """WITH t AS (SELECT CASE WHEN text NOT IN ('', '\\N', 'null') THEN text END AS text FROM documents)
+    SELECT CAST(count(text) AS BIGINT) AS n_values, CAST(max(length(text)) AS BIGINT) AS max_chars, CAST(max(strlen(text)) AS BIGINT) AS max_bytes,
+    CAST(count(*) - count(text) AS BIGINT) AS n_nulls, count(DISTINCT text) = count(text) AS all_different FROM t"""
 )
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").agg(
-        F.count(t).alias("n_values"), F.max(F.length(t)).cast("long").alias("max_chars"), F.max(F.octet_length(t)).cast("long").alias("max_bytes"),
-        F.count_if(typing.is_nullish(t)).alias("n_nullish"),
-    )
+    stats, _ = profile.profile(table(spark, sf_dir, "documents").select("text"), CONFIG, exact=True)
+    s = stats["text"]
+    return spark.createDataFrame([(s.values, s.length, s.bytes, s.nulls, s.distinct == s.values)], "n_values long, max_chars long, max_bytes long, n_nulls long, all_different boolean")
+
+
+SAMPLED = ("o_orderkey", "o_custkey")
+WIDTH_SQL = """CASE WHEN min({0}) >= -128 AND max({0}) <= 127 THEN 'tinyint' WHEN min({0}) >= -32768 AND max({0}) <= 32767 THEN 'smallint'
+  WHEN min({0}) >= -2147483648 AND max({0}) <= 2147483647 THEN 'int' ELSE 'bigint' END"""
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, {WIDTH_SQL.format(c)} AS type, count(DISTINCT {c}) = count(*) AS is_unique FROM orders" for c in SAMPLED))
+def sampled_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header, _, _ = profile.infer_header(table(spark, sf_dir, "orders").select(*SAMPLED), CONFIG.with_(sampling=0.1, sampling_minimum=100))
+    return spark.createDataFrame([(n, c.type, c.unique) for n, c in header.items()], "column_name string, type string, is_unique boolean")
 
 
 # Typing.  The mixed texts cover every branch; they are made from keys by the same rule in both languages.
@@ -182,6 +195,18 @@ def separator_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbers.count_votes(table(spark, sf_dir, "lineitem").select(F.when(us, _formatted(True)).otherwise(_formatted(False)).alias("price")))
 
 
+@query(
+    """SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber, d AS swiss, d AS backtick, d AS spaced, d AS fixed
+    FROM (SELECT *, CAST(CAST(round(l_extendedprice * 100) AS BIGINT) / 100.0 AS DECIMAL(18,2)) AS d FROM lineitem)"""
+)
+def number_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    us, eu = _formatted(True), _formatted(False)
+    texts = {"swiss": F.translate(us, ",", "'"), "backtick": F.translate(us, ",", "`"), "spaced": F.translate(us, ",", " ")}
+    read = [numbers.normalize_number(t).try_cast("decimal(18,2)").alias(n) for n, t in texts.items()]
+    read.append(numbers.normalize_number(eu, (".", ",")).try_cast("decimal(18,2)").alias("fixed"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *read)
+
+
 @query(
     "SELECT l_orderkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(18,3)), 1) AS DECIMAL(18,1)) AS rounded, "
     "CAST(round(CAST(-l_extendedprice AS DECIMAL(18,3)), 1) AS DECIMAL(18,1)) AS rounded_negative FROM lineitem"
@@ -273,9 +298,24 @@ def composite_key_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.combination_counts(table(spark, sf_dir, "conversations"), COMBOS["conversations"])
 
 
+# Columns of five tables that can be keys (no floats), in order, and whether they are whole numbers.
+KEYED = {
+    "orders": {"o_orderkey": 1, "o_custkey": 1, "o_orderstatus": 0, "o_orderpriority": 0},
+    "customer": {"c_custkey": 1, "c_name": 0, "c_nationkey": 1, "c_mktsegment": 0},
+    "part": {"p_partkey": 1, "p_name": 0, "p_brand": 0, "p_type": 0, "p_size": 1},
+    "supplier": {"s_suppkey": 1, "s_name": 0, "s_nationkey": 1},
+    "nation": {"n_nationkey": 1, "n_name": 0, "n_regionkey": 1},
+}
+_CANDIDATES = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS name, {i} AS place, {whole} AS whole, count(DISTINCT {c}) = count(*) AS fits FROM {t}"
+    for t, columns in KEYED.items()
+    for i, (c, whole) in enumerate(columns.items())
+)
+
+
 @query(
-    "SELECT * FROM (VALUES ('orders', 'o_orderkey'), ('customer', 'c_custkey'), ('part', 'p_partkey'), ('supplier', 's_suppkey'), ('nation', 'n_nationkey')) "
-    "v(table_name, primary_key)"
+    f"""SELECT table_name, name AS primary_key FROM ({_CANDIDATES}) WHERE fits
+    QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY regexp_matches(name, '(^|_)id$') DESC, whole DESC, CASE WHEN whole = 1 THEN place ELSE length(name) END, place) = 1"""
 )
 def pk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = []
@@ -286,8 +326,29 @@ def pk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, primary_key string")
 
 
+GROUPED = "SELECT concat('g', event_id // 100) AS a, concat('z', event_id % 7) AS b, concat('p', event_id % 100) AS c FROM events"
+_COMBOS = " UNION ALL ".join(
+    f"SELECT {i} AS place, '{','.join(k)}' AS key, count(*) AS rows, count(DISTINCT ({', '.join(k)})) AS groups FROM ({GROUPED})"
+    for i, k in enumerate(("a", "b", "c", "ab", "ac", "bc", "abc"))
+)
+
+
+@query(f"SELECT key FROM ({_COMBOS}) WHERE rows = groups ORDER BY place LIMIT 1")
+def key_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").selectExpr("concat('g', event_id div 100) AS a", "concat('z', event_id % 7) AS b", "concat('p', event_id % 100) AS c")
+    header, stats, n = profile.infer_header(df, CONFIG)
+    return spark.createDataFrame([(",".join(keys.predict_indexes(header, df, stats, n, CONFIG).primary_keys),)], "key string")
+
+
+_SEMANTICS = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {whole} AS whole, count(DISTINCT {c}) AS n, count({c}) AS rows, {f'max({c})' if whole else 'NULL'} AS most FROM customer"
+    for c, whole in KEYED["customer"].items()
+)
+
+
 @query(
-    "SELECT * FROM (VALUES ('c_custkey', 'identifier'), ('c_name', 'identifier'), ('c_nationkey', 'measure'), ('c_mktsegment', 'dimension')) v(column_name, hint)"
+    f"""SELECT column_name, CASE WHEN n = rows THEN 'identifier' WHEN n * 10 >= rows * 9 AND whole = 0 THEN 'text'
+    WHEN n * 5 <= rows AND (whole = 0 OR most > 32767) THEN 'dimension' WHEN whole = 1 THEN 'measure' ELSE 'text' END AS hint FROM ({_SEMANTICS})"""
 )
 def column_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "customer").drop("c_acctbal")
@@ -296,7 +357,13 @@ def column_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s["column"], s["hint"]) for s in shape.semantics(header)], "column_name string, hint string")
 
 
-@query("SELECT * FROM (VALUES ('c_mktsegment', 'added'), ('c_nationkey', 'widened'), ('c_name', 'kept')) v(column_name, change)")
+@query(
+    f"""WITH d AS (SELECT {WIDTH_SQL.format("c_nationkey")} AS was, {WIDTH_SQL.format("c_nationkey * 1000")} AS now, length(max(c_nationkey)::VARCHAR) AS digits,
+      length((max(c_nationkey) * 1000)::VARCHAR) AS more FROM customer),
+    o AS (SELECT column_name, column_name = 'c_mktsegment' AS fresh, column_name = 'c_nationkey' AS number FROM information_schema.columns
+      WHERE table_name = 'customer' AND column_name IN ('c_nationkey', 'c_name', 'c_mktsegment'))
+    SELECT DISTINCT column_name, CASE WHEN fresh THEN 'added' WHEN number AND (was <> now OR more > digits) THEN 'widened' ELSE 'kept' END AS change FROM o, d"""
+)
 def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "customer").select("c_nationkey", "c_name", "c_mktsegment")
     new, _, _ = profile.infer_header(df.withColumn("c_nationkey", F.col("c_nationkey") * 1000), CONFIG)
@@ -420,14 +487,6 @@ def vertical_split_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(two.select(F.lit(2).alias("part"), F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("a"), F.lit(None).cast("string").alias("b")))
 
 
-@query(
-    "SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS latest, arg_max(o_orderstatus, o_orderkey) FILTER (WHERE o_orderdate <= TIMESTAMP '1995-06-17 00:00:00') AS at_time FROM orders GROUP BY o_custkey"
-)
-def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    past = F.when(F.col("o_orderdate") <= F.lit("1995-06-17 00:00:00").cast("timestamp_ntz"), F.col("o_orderkey"))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderstatus", "o_orderkey").alias("latest"), F.max_by("o_orderstatus", past).alias("at_time"))
-
-
 @query("SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS surrogate FROM events")
 def surrogate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.number_new_rows(table(spark, sf_dir, "events").select("event_id"), "surrogate", 1, [F.col("event_id")])
@@ -437,9 +496,6 @@ def surrogate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _engine(spark: SparkSession, **options: object):
-    from .engine import Engine
-    from .sources.scratch import new_path
-
     return Engine(spark, new_path(spark, "store"), LoadConfig(add_timestamps=False, **options))
 
 
@@ -491,10 +547,88 @@ def load_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_orders(engine.read("orders__history"), target)
 
 
-@query()
-def schema_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(
+    f"""SELECT {ORDER_COLUMNS} FROM orders WHERE o_orderkey % 100 <> 0
+    UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 100 = 0"""
+)
+def small_batch_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small batch on a table of several files: files without a key of it stay."""
+    df = table(spark, sf_dir, "orders")
+    engine = _engine(spark, drop_unique_constraints=True)
+    _loaded(engine.load_chunks("orders", (df.filter(f"o_orderkey % 3 = {i}") for i in range(3)), ["o_orderkey"]))
+    _loaded(engine.load("orders", df.filter("o_orderkey % 100 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)))
+    return _as_orders(engine.read("orders"), df)
+
+
+@query(ORDERS_SQL)
+def concurrent_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads into one table at the same time: both stay."""
+    df = table(spark, sf_dir, "orders")
+    path = _engine(spark).store.path
+    engines = [Engine(spark, path, LoadConfig(add_timestamps=False, drop_unique_constraints=True)) for _ in range(2)]
+    with ThreadPoolExecutor(2) as pool:
+        for result in pool.map(lambda i: engines[i].load("orders", df.filter(f"o_orderkey % 2 = {i}"), ["o_orderkey"]), range(2)):
+            _loaded(result)
+    return _as_orders(engines[0].read("orders"), df)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 100 ELSE o_orderkey * 1000 END AS v FROM orders")
+def chunk_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later chunks widen a column that the first made narrow."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 100 ELSE o_orderkey * 1000 END").alias("v"))
+    engine = _engine(spark)
+    _loaded(engine.load_chunks("drift", (df.filter(f"o_orderkey % 2 = {i}") for i in range(2)), ["o_orderkey"]))
+    return engine.read("drift").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("v").cast("long").alias("v"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey % 300 AS BIGINT) AS v FROM orders WHERE o_orderkey % 300 <> 13")
+def degradation_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a declared column does not hold widen it; a check refuses others."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 300).cast("string").alias("v"))
+    engine = _engine(spark, rejected_rows_table="rejects", checks={"v": "v <> '13'"})
+    declared = {"o_orderkey": ColumnDef("bigint", primary=True), "v": ColumnDef("tinyint", 2)}
+    _loaded(engine.load("t", df, assume=declared))
+    return engine.read("t").select("o_orderkey", F.col("v").cast("long").alias("v"))
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey + 3 AS s_suppkey, s_name, s_nationkey FROM supplier)
+    SELECT s.s_suppkey FROM s WHERE EXISTS (SELECT 1 FROM supplier t WHERE t.s_nationkey = s.s_nationkey AND t.s_suppkey % 2 = s.s_suppkey % 2 AND t.s_suppkey <> s.s_suppkey)"""
+)
+def composite_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a unique constraint over two columns refuses."""
+    target = table(spark, sf_dir, "supplier").withColumn("parity", F.col("s_suppkey") % 2)
+    staged = target.withColumn("s_suppkey", F.col("s_suppkey") + 3).withColumn("parity", F.col("s_suppkey") % 2)
+    return merge.conflicting_rows(target, staged, ["s_suppkey"], ["s_nationkey", "parity"]).select("s_suppkey")
+
+
+_CUSTOMER = "SELECT column_name, ordinal_position AS at FROM information_schema.columns WHERE table_name = 'customer'"
+
+
+def _customer_twice(spark: SparkSession, sf_dir: str):
     df = table(spark, sf_dir, "customer")
     engine = _engine(spark, schema_history=True)
     _loaded(engine.load("customer", df.drop("c_mktsegment"), ["c_custkey"]))
     _loaded(engine.load("customer", df, ["c_custkey"]))
-    return engine.catalog.history_frame("customer").select("table_name", "version", "status", "checksum")
+    return engine
+
+
+@query(
+    f"""SELECT 'customer' AS table_name, CAST(v AS BIGINT) AS version, 'applied' AS status,
+    (SELECT string_agg(DISTINCT column_name, ',' ORDER BY column_name) FROM ({_CUSTOMER}) WHERE v = 2 OR column_name <> 'c_mktsegment') AS columns FROM (VALUES (1), (2)) t(v)"""
+)
+def schema_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = _customer_twice(spark, sf_dir).catalog.history_frame("customer")
+    names = F.array_join(F.array_sort(F.map_keys(F.from_json("new_schema", "map<string, map<string, string>>"))), ",")
+    return history.select("table_name", "version", "status", names.alias("columns"))
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT column_name FROM ({_CUSTOMER}))
+    SELECT 'first' AS asked, CAST(count(*) AS BIGINT) AS n_columns FROM c WHERE column_name <> 'c_mktsegment' UNION ALL SELECT 'latest' AS asked, CAST(count(*) AS BIGINT) AS n_columns FROM c"""
+)
+def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema in force when the first migration was done, and the latest."""
+    catalog = _customer_twice(spark, sf_dir).catalog
+    first = catalog.schema_at("customer", catalog.events("customer")[0]["time"])
+    return spark.createDataFrame([("first", len(first)), ("latest", len(catalog.latest("customer")["new_schema"]))], "asked string, n_columns long")
