@@ -15,7 +15,7 @@ from lakeloom.functions import typesystem as ts
 from lakeloom.header import ColumnDef, Header, constraint_name, is_header
 from lakeloom.operators import merge, reshape
 from lakeloom.plans import ddl, diff, keys, profile, shape
-from lakeloom.sources.rows import column_union, frames, from_rows, is_rows
+from lakeloom.sources.rows import column_union, frames, from_rows, is_rows, read_jdbc, write_jdbc
 from lakeloom.streaming.foreach import batch_loader, load_stream
 
 CONFIG = LoadConfig()
@@ -533,6 +533,19 @@ def test_settings_without_effect_are_named(engine):
     assert len(said) == 1 and "insert_stack" in said[0]
 
 
+def test_databases_over_jdbc(spark):
+    """Round trip through a database that comes with Spark: a table in parts, and a query."""
+    url, driver = "jdbc:derby:memory:lakeloom;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    df = spark.range(50).select(F.col("id").cast("int").alias("K"), F.concat(F.lit("v"), "id").alias("V"))
+    write_jdbc(df, url, "T", "overwrite", **driver)
+    write_jdbc(df.withColumn("K", F.col("K") + 50), url, "T", **driver)
+    whole = read_jdbc(spark, url, "T", ("K", 0, 100, 4), **driver)
+    assert whole.rdd.getNumPartitions() == 4 and rows_of(whole, "K", "V") == sorted((i, f"v{i % 50}") for i in range(100))
+    assert rows_of(read_jdbc(spark, url, "SELECT K FROM T WHERE K >= 97", **driver), "K") == [(97,), (98,), (99,)]
+    with pytest.raises(ValueError):
+        read_jdbc(spark, url, "SELECT 1; DROP TABLE T", **driver)
+
+
 def test_type_groups():
     assert [t for t in ts.ALL_TYPES if ts.is_integer(t)] == ["tinyint", "smallint", "int", "bigint"]
     assert [t for t in ts.ALL_TYPES if ts.is_floating(t)] == ["numeric", "decimal", "double", "exponent"]
