@@ -74,6 +74,32 @@ OPERATORS: list[Query] = [
     op10_language_id,
 ]
 
+def _feistel(left: str, right: str) -> str:
+    """SQL of one pass of the permutation: the rounds written out."""
+    for step in range(sharding.ROUNDS):
+        left, right = right, f"(({left} + ('0x' || substr(md5(concat({right}, ':', {sharding.SEED}, ':', {step})), 1, 15))::BIGINT % side) % side)"
+    return f"({left} * side + {right})"
+
+
+SHARD_SQL = f"""
+WITH RECURSIVE bytes AS (
+  SELECT list(c ORDER BY i) AS crc_of FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS c
+    FROM (SELECT unnest(range(256))::BIGINT AS i))
+), d AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents
+), z AS (
+  SELECT doc_id, CAST(len(b) + 16 AS BIGINT) AS size,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(crc_of[(xor(c, x) & 255) + 1], c // 256)), 4294967295) AS text_crc32 FROM d, bytes
+), n AS (SELECT count(*) AS n, greatest(1, CAST(ceil(sqrt(count(*))) AS BIGINT)) AS side FROM documents),
+r AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS k FROM z),
+walk AS (
+  SELECT k, {_feistel("(k // side)", "(k % side)")} AS v, 1 AS step FROM r, n
+  UNION ALL SELECT k, {_feistel("(v // side)", "(v % side)")} AS v, step + 1 AS step FROM walk, n WHERE v >= n
+), p AS (SELECT k, CAST(arg_max(v, step) AS BIGINT) AS position FROM walk GROUP BY k)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(position % 40 AS INTEGER) AS shard, position // 40 AS slot, CAST(NULL AS INTEGER) AS grown_shard, position
+FROM r JOIN p ON r.k = p.k
+"""
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, html, strlen(html) AS n, sha1(html) AS digest FROM p),
@@ -159,4 +185,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_jaccard": NGRAM_SQL, "op4_warc": WARC_SQL, "op6_line_dedup": LINE_SQL, "op7_exact_dedup": DEDUP_SQL, "op8_chat_format": CHAT_SQL}
+    return {"op3_ngram_jaccard": NGRAM_SQL, "op4_warc": WARC_SQL, "op5_sharding": SHARD_SQL, "op6_line_dedup": LINE_SQL, "op7_exact_dedup": DEDUP_SQL, "op8_chat_format": CHAT_SQL}

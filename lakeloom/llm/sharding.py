@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from .common import col, fresh, materialize, number_rows, remove
 
 ROUNDS = 6
+SEED = 20_240_101
 OVERHEAD_BYTES = 16  # what a row costs in a shard besides its text
 WALK = 8  # steps of cycle walking in one pass
 
 
-def _scramble(value: Column, seed: int, step: int, side: int) -> Column:
-    return F.pmod(F.xxhash64(value, F.lit(seed), F.lit(step)), F.lit(side))
+def _scramble(value: Column, seed: int, step: Column, side: int) -> Column:
+    """Round function: 60 bits of MD5, which any other engine has too."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", value, F.lit(seed), step)), 1, 15), 16, 10).cast("long") % F.lit(side).cast("long")
 
 
 def permute(df: DataFrame, number: str, total: int, seed: int, out: str) -> DataFrame:
@@ -39,7 +41,7 @@ def permute(df: DataFrame, number: str, total: int, seed: int, out: str) -> Data
     left, right = f"{out}_l", f"{out}_r"  # the halves as columns, so that each is computed once
     done = df.withColumns({left: F.expr(f"`{number}` div {side}L"), right: F.pmod(F.col(number).cast("long"), s)})
     for step in range(ROUNDS):
-        done = done.withColumns({left: F.col(right), right: F.pmod(F.col(left) + _scramble(F.col(right), seed, step, side), s)})
+        done = done.withColumns({left: F.col(right), right: F.pmod(F.col(left) + _scramble(F.col(right), seed, F.lit(step), side), s)})
     done = done.withColumn(out, F.col(left) * s + F.col(right)).drop(left, right)
     done = materialize(done, "permuted")
     while not done.filter(F.col(out) >= total).isEmpty():
@@ -61,7 +63,7 @@ def _walk(x: Column, total: int, side: int, seed: int) -> Column:
             pair,
             lambda acc, step: F.struct(
                 acc["r"].alias("l"),
-                F.pmod(acc["l"] + F.pmod(F.xxhash64(acc["r"], F.lit(seed), step), F.lit(side)), F.lit(side).cast("long")).alias("r"),
+                F.pmod(acc["l"] + _scramble(acc["r"], seed, step, side), F.lit(side).cast("long")).alias("r"),
             ),
             lambda acc: acc["l"] * F.lit(side).cast("long") + acc["r"],
         )
@@ -80,7 +82,7 @@ def number_at(shard: int, slot: int, shards: int) -> int:
     return slot * shards + shard
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 20_240_101) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, seed: int = SEED) -> DataFrame:
     """Place every document: doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard, position.
 
     Law ``rows``: the row counts of any two shards differ by one at most, and
@@ -113,7 +115,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 20_240_101) -
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 20_240_101) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = SEED) -> DataFrame:
     """Write the documents in shard and slot order under ``path`` (one folder a shard); returns the placement.
 
     The rows themselves are numbered and permuted, in the order of
