@@ -4,11 +4,11 @@ A text's weighted terms are its words with their counts.  For every term and
 each of K samples, r and c are Gamma(2, 1) and beta is uniform, all from a hash
 of term and sample number, so equal terms draw equally everywhere.  With weight w,
 
-    t = floor(ln w / r + beta),  ln a = ln c - r (t - beta) - r,
+    t = floor(ln w / r + beta),  a = c exp(-r (t - beta) - r),
 
 and the sample is the (term, t) of the smallest a.  Two texts' samples agree
 with probability sum(min(w)) / sum(max(w)) over terms, the generalised Jaccard
-similarity.  All of it is DataFrame operators in generated code: ``ln a`` is
+similarity.  All of it is DataFrame operators in generated code: ``a`` is
 quantised into the high bits of a long whose low bits tag (term, t), and a
 signature is K minima.
 """
@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from .common import materialize, number_rows, repeat_rows, setting
 
 SAMPLES = 64
-TAG_BITS = 24  # of (term, t), below the quantised ln a
-SCALE = 1 << 29  # steps of ln a for each unit; ln a + OFFSET is below 2 ** 9
-OFFSET = 200.0  # |ln a| stays far below: c and r come from 13-bit uniforms
+TAG_BITS = 24  # of (term, t), below the quantised a
+SCALE = 1 << 34  # steps of a for each unit; a is below 2 ** 5, as c comes from two 15-bit uniforms
 EMPTY = "-"  # fingerprint of a text without words
 
 
@@ -34,19 +33,22 @@ def _uniform(bits: Column, shift: int, width: int) -> Column:
 
 
 def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """Packed (ln a, tag) of one term in sample k; the least over a text's terms is its sample.
+    """Packed (a, tag) of one term in sample k; the least over a text's terms is its sample.
 
-    One 64-bit hash of term and k gives all draws: 13 bits for each of the four
-    uniforms behind r and c, 12 for beta.
+    One 64-bit hash of term and k gives all draws.  A Gamma(2, 1) r that a uniform
+    beta splits is two exponentials, r (1 - beta) = -ln u and r beta = -ln v; so
+    a = c exp(-r t) u and t = floor((ln w - ln v) / r), and a word that is there
+    once, as most are, has t = 0 and takes one logarithm.
     """
     bits = F.xxhash64(term, F.lit(k))
-    r = -F.ln(_uniform(bits, 0, 13) * _uniform(bits, 13, 13))
-    c = -F.ln(_uniform(bits, 38, 13) * _uniform(bits, 51, 13))
-    beta = _uniform(bits, 26, 12)
-    t = F.when(log_weight == 0, F.lit(0).cast("long")).otherwise(F.floor(log_weight / r + beta))  # most words are there once: no division, no second r
-    log_a = F.ln(c) - r * (t.cast("double") - beta + F.lit(1.0))
-    tag = bits.bitwiseXOR(t * F.lit(7919).cast("long")).bitwiseAND(F.lit((1 << TAG_BITS) - 1).cast("long"))
-    return F.shiftleft(F.floor((log_a + F.lit(OFFSET)) * F.lit(float(SCALE))), TAG_BITS).bitwiseOR(tag)
+    u, v = _uniform(bits, 0, 20), _uniform(bits, 20, 14)
+    a = -F.ln(_uniform(bits, 34, 15) * _uniform(bits, 49, 15)) * u
+    once = log_weight == 0
+    r = -F.ln(u * v)
+    t = F.floor((log_weight - F.ln(v)) / r)
+    a = F.when(once, a).otherwise(a * F.exp(-r * t))
+    tag = F.when(once, bits).otherwise(bits.bitwiseXOR(t * F.lit(7919).cast("long"))).bitwiseAND(F.lit((1 << TAG_BITS) - 1).cast("long"))
+    return F.shiftleft(F.floor(a * F.lit(float(SCALE))), TAG_BITS).bitwiseOR(tag)
 
 
 def explode_words(df: DataFrame, *keep: str) -> DataFrame:

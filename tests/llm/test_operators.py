@@ -520,9 +520,10 @@ def test_fingerprints_by_a_second_sampler(spark):
             best = None
             for w, n in c.items():
                 b = bits[term[w,], k]
-                r, g, beta = -math.log(unit(b, 0, 13) * unit(b, 13, 13)), -math.log(unit(b, 38, 13) * unit(b, 51, 13)), unit(b, 26, 12)
+                part, rest = -math.log(unit(b, 0, 20)), -math.log(unit(b, 20, 14))  # a Gamma(2, 1) in two parts, of which beta is one's share
+                r, beta, g = part + rest, rest / (part + rest), -math.log(unit(b, 34, 15) * unit(b, 49, 15))
                 t = math.floor(math.log(n) / r + beta)
-                packed = (math.floor((math.log(g) - r * (t - beta + 1) + 200) * 2**29) << 24) | ((b ^ t * 7919) & (2**24 - 1))
+                packed = (math.floor(math.exp(math.log(g) - r * (t - beta + 1)) * 2**34) << 24) | ((b ^ t * 7919) & (2**24 - 1))
                 best = packed if best is None else min(best, packed)
             signature.append(best)
         want.append(signature)
