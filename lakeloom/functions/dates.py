@@ -1,12 +1,15 @@
 """Date and time texts to values, without any use of the session's time zone.
 
 A text's fields are taken out by one pattern over all layouts, and all values are
-made from that array: one common subexpression, which generated code computes
-once a row.
+made from that array.  It is bound to a lambda variable, which computes it once a
+row and keeps the expression out of generated code, where it is a method too large
+for the JVM to compile.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +21,8 @@ MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"  # three letters a month, so a n
 class Fields:
     """Fields of a text, by name; empty where its layout has none, null where the text has no known layout."""
 
-    def __init__(self, text: Column):
-        self.array = F.split(F.regexp_replace(F.trim(text), L.READ, L.TAKEN), L.MARK, -1)
+    def __init__(self, array: Column):
+        self.array = array
 
     def text(self, name: str) -> Column:
         return F.get(self.array, F.lit(L.FIELDS.index(name) + 1))  # a text without a layout is left alone, before the first mark
@@ -29,6 +32,16 @@ class Fields:
         return F.coalesce(*[F.when(self.text(n) != "", self.text(n)) for n in names]).cast("int")  # the layout has digits there
 
 
+def _bound(column: Column, value: Callable[[Column], Column]) -> Column:
+    """``value`` of a column that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(column), value), F.lit(0))
+
+
+def _read(text: Column, value: Callable[[Fields], Column]) -> Column:
+    """What ``value`` makes of the fields of a text."""
+    return _bound(F.split(F.regexp_replace(F.trim(text), L.READ, L.TAKEN), L.MARK, -1), lambda a: value(Fields(a)))
+
+
 def _clock(f: Fields, date_order: str) -> Column:
     first, second = f.number("first"), f.number("second")
     day_first = (first > 12) if date_order == "MDY" else (second <= 12)
@@ -61,17 +74,17 @@ def wall_clock(text: Column, date_order: str = "MDY") -> Column:
     Day and month of a text like 03/04/2024 follow ``date_order``, unless one of
     them is above 12.
     """
-    return _clock(Fields(text), date_order)
+    return _read(text, lambda f: _clock(f, date_order))
 
 
 def epoch_instant(text: Column) -> Column:
     """UTC wall clock of ``/Date(ms)/``, whose sign counts; null for other shapes."""
-    return _epoch(Fields(text))
+    return _read(text, _epoch)
 
 
 def zone_minutes(text: Column) -> Column:
     """Minutes ahead of UTC that a text states; null if it states none."""
-    return _zone_minutes(Fields(text))
+    return _read(text, _zone_minutes)
 
 
 def minus_minutes(value: Column, minutes: Column) -> Column:
@@ -108,25 +121,30 @@ def to_datetime(text: Column, zone: str | None = None, date_order: str = "MDY")
     A stated offset is taken off; a text without one keeps its wall clock, or is
     converted from ``zone`` if that is given.
     """
-    f = Fields(text)
-    stated = F.when(f.text("epoch") != "", 0).otherwise(_zone_minutes(f))
-    clock = F.coalesce(_clock(f, date_order), _epoch(f))
-    if not zone:
-        return minus_minutes(clock, F.coalesce(stated, F.lit(0)))
-    # Both are computed for every row, in no branch, so that the clock is one common subexpression.
-    ahead = F.get(F.array(stated * 60, zone_seconds(clock, zone)), F.when(stated.isNull(), 1).otherwise(0))
-    return clock - F.make_dt_interval(secs=ahead.cast("decimal(18,6)"))
+    def parts(f: Fields) -> Column:
+        stated = F.when(f.text("epoch") != "", 0).otherwise(_zone_minutes(f))
+        return F.struct(F.coalesce(_clock(f, date_order), _epoch(f)).alias("clock"), stated.alias("stated"))
+
+    def utc(read: Column) -> Column:
+        clock, stated = read["clock"], read["stated"]
+        if not zone:
+            return minus_minutes(clock, F.coalesce(stated, F.lit(0)))
+        return F.when(stated.isNull(), zone_to_utc(clock, zone)).otherwise(minus_minutes(clock, stated))
+
+    return _bound(_read(text, parts), utc)
 
 
 def to_date(text: Column, date_order: str = "MDY") -> Column:
     """Date as written, whatever zone the text states."""
-    f = Fields(text)
-    return F.coalesce(_epoch(f), _clock(f, date_order)).cast("date")
+    return _read(text, lambda f: F.coalesce(_epoch(f), _clock(f, date_order))).cast("date")
 
 
 def to_time_text(text: Column) -> Column:
     """``HH:MM:SS`` as written, fraction kept; null if there is no time."""
-    f = Fields(text)
-    seconds = F.when(f.text("seconds") == "", "00").otherwise(f.text("seconds"))
-    parts = F.concat(F.lpad(f.text("hour"), 2, "0"), F.lit(":"), f.text("minute"), F.lit(":"), seconds, f.text("fraction"))
-    return F.coalesce(F.date_format(_epoch(f), "HH:mm:ss"), F.when(f.text("hour") != "", parts))
+
+    def shown(f: Fields) -> Column:
+        seconds = F.when(f.text("seconds") == "", "00").otherwise(f.text("seconds"))
+        parts = F.concat(F.lpad(f.text("hour"), 2, "0"), F.lit(":"), f.text("minute"), F.lit(":"), seconds, f.text("fraction"))
+        return F.coalesce(F.date_format(_epoch(f), "HH:mm:ss"), F.when(f.text("hour") != "", parts))
+
+    return _read(text, shown)

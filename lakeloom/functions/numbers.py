@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +13,6 @@ from ..config import LoadConfig
 from . import patterns as P
 
 
-
 def _grouped(separator: str, point: str) -> str:
     """Digits in Western or Indian groups with an optional fraction; a lone separator counts only beside a point."""
     two = rf"(?:{separator}[0-9]{{2}})"
@@ -59,31 +61,32 @@ def ambiguous_separator(text: Column) -> Column:
 
 
 def separator_vote(text: Column) -> Column:
-    """'us', 'eu' or null: what one text says about the layout of numbers."""
+    """'us', 'eu' or null: what one text says about the layout of numbers.
+
+    What is left of a number without its digits tells the layout, so that texts
+    without a separator are settled before any pattern.
+    """
     s = F.trim(text)
-    numeric = s.rlike(P.NUMBER) | s.rlike(P.DECIMAL)
-    s = F.regexp_replace(s, r"\A-", "")
-    commas, dots = _count(s, ","), _count(s, ".")
-    lone_is_point = ~s.rlike(r"\A[0-9]{0,3}[.,][0-9]{3}\z")
+    marks = F.translate(s, "-0123456789", "")
+    lone_is_point = ~s.rlike(r"\A-?[0-9]{0,3}[.,][0-9]{3}\z")
     return F.when(
-        numeric,
-        F.when(commas >= 2, "us")
-        .when(dots >= 2, "eu")
-        .when((commas == 1) & (dots == 1), F.when(F.instr(s, ".") > F.instr(s, ","), "us").otherwise("eu"))
-        .when((commas == 1) & lone_is_point, "eu")
-        .when((dots == 1) & lone_is_point, "us"),
+        (marks != "") & s.rlike(P.NUMERIC),
+        F.when(_count(marks, ",") >= 2, "us")
+        .when(_count(marks, ".") >= 2, "eu")
+        .when(marks == ",.", "us")
+        .when(marks == ".,", "eu")
+        .when((marks == ",") & lone_is_point, "eu")
+        .when((marks == ".") & lone_is_point, "us"),
     )
 
 
 def count_votes(df: DataFrame) -> DataFrame:
     """One row: votes for each layout, pooled over all text columns in one pass."""
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    total = {"us": F.lit(0), "eu": F.lit(0)}
-    for name in texts:
-        vote = separator_vote(F.col(f"`{name}`"))
-        for side in total:
-            total[side] = total[side] + F.when(vote == side, 1).otherwise(0)
-    return df.agg(*[F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(f"{k}_votes") for k, v in total.items()])
+    # The votes are columns of their own, so that the sums for both sides read each vote and don't repeat it.
+    votes = df.select(*[separator_vote(F.col(f"`{name}`")).alias(f"v{i}") for i, name in enumerate(texts)])
+    total = {side: reduce(add, [F.count_if(F.col(f"v{i}") == side) for i in range(len(texts))], F.lit(0)) for side in ("us", "eu")}
+    return votes.agg(*[n.cast("long").alias(f"{side}_votes") for side, n in total.items()])
 
 
 def dataset_separators(df: DataFrame, config: LoadConfig) -> tuple[str, str] | None:

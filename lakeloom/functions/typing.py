@@ -39,7 +39,7 @@ def text_tier(text: Column) -> Column:
 
 
 def text_type(text: Column, separators: tuple[str, str] | None = None) -> Column:
-    numeric = text.rlike(P.NUMBER) | text.rlike(P.DECIMAL)
+    numeric = text.rlike(P.NUMERIC)
     plain = normalize_number(text, separators)
     # A number text is typed after its separators are read; it may turn out malformed.
     number = F.when(plain.isNull(), "varchar").when(F.contains(plain, F.lit(".")), "decimal").otherwise(integer_width(plain))

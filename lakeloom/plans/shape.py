@@ -23,21 +23,21 @@ VARCHAR_DEFAULT, DECIMAL_DEFAULT = 255, 10
 # Names under which data may already carry its own time stamps.
 STAMP_NAMES = {
     "created": (
-        "dwh_created_at created_at create_at created_date create_date creation_time createdon record_created inserted_at creation_date "
-        "createdtimestamp created_ts createddatetime createdutc creationtimestamp insertedutc inserteddate insertedtime createddateutc "
-        "createdondate row_created_at inserted_timestamp created_iso created_time_utc"
+        "dwh_created_at", "created_at", "create_at", "created_date", "create_date", "creation_time", "createdon", "record_created", "inserted_at",
+        "creation_date", "createdtimestamp", "created_ts", "createddatetime", "createdutc", "creationtimestamp", "insertedutc", "inserteddate",
+        "insertedtime", "createddateutc", "createdondate", "row_created_at", "inserted_timestamp", "created_iso", "created_time_utc",
     ),
     "modified": (
-        "dwh_modified_at modified_at modify_at modified_date update_date updatedon last_modified last_update record_updated changed_at "
-        "updated_timestamp modified_ts updateddatetime lastmodified modifiedutc modifieddateutc updateddateutc lastupdateutc updatedondate "
-        "row_modified_at updatetime last_updated_at modified_time_utc"
+        "dwh_modified_at", "modified_at", "modify_at", "modified_date", "update_date", "updatedon", "last_modified", "last_update", "record_updated",
+        "changed_at", "updated_timestamp", "modified_ts", "updateddatetime", "lastmodified", "modifiedutc", "modifieddateutc", "updateddateutc",
+        "lastupdateutc", "updatedondate", "row_modified_at", "updatetime", "last_updated_at", "modified_time_utc",
     ),
     "loaded": (
-        "dwh_loaded_at dwh_loaded_date data_warehouse_loaded_at etl_loaded_at data_loaded_at extract_timestamp ingestion_time etl_timestamp "
-        "dw_timestamp loadedat load_timestamp ingested_at load_date dwloadtimestamp sync_timestamp imported_at import_timestamp "
-        "staging_loaded_at data_loaded_time record_loaded_at"
+        "dwh_loaded_at", "dwh_loaded_date", "data_warehouse_loaded_at", "etl_loaded_at", "data_loaded_at", "extract_timestamp", "ingestion_time",
+        "etl_timestamp", "dw_timestamp", "loadedat", "load_timestamp", "ingested_at", "load_date", "dwloadtimestamp", "sync_timestamp", "imported_at",
+        "import_timestamp", "staging_loaded_at", "data_loaded_time", "record_loaded_at",
     ),
-}
+}
 STAMP_COLUMN = {"created": "dwh_created_at", "modified": "dwh_modified_at", "loaded": "dwh_loaded_at"}
 
 
@@ -138,7 +138,7 @@ def add_stamps(header: Header) -> Header:
     names = {normalize_name(n) for n in header}
     for kind, known in STAMP_NAMES.items():
         own = STAMP_COLUMN[kind]
-        if own in out or names & {normalize_name(n) for n in known.split()}:
+        if own in out or names & {normalize_name(n) for n in known}:
             continue
         out[own] = ColumnDef("datetime", calculated=True, updated_calculated=kind != "created", calculated_default="run_time")
     return out

@@ -19,7 +19,7 @@ from .functions.typesystem import CODE
 from .header import ColumnDef, Header
 from .operators import evolve, merge, rejects, reshape
 from .plans import diff, keys, profile, shape
-from .sources.scratch import new_path
+from .sources.scratch import new_path, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = LoadConfig()
@@ -180,7 +180,7 @@ NUMBER_SQL = """SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumb
 
 @query(NUMBER_SQL)
 def normalize_number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _formatted(True).alias("us"), _formatted(False).alias("eu"))
+    df = spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", _formatted(True).alias("us"), _formatted(False).alias("eu"))
     read = [numbers.normalize_number(F.col(c)).try_cast("decimal(18,2)").alias(c) for c in ("us", "eu")]
     return df.select("l_orderkey", "l_linenumber", *read)
 
@@ -192,7 +192,7 @@ SELECT CAST(count(*) FILTER (WHERE us) AS BIGINT) AS us_votes, CAST(count(*) FIL
 @query(VOTE_SQL)
 def separator_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = F.col("l_linenumber") % 2 == 0
-    return numbers.count_votes(table(spark, sf_dir, "lineitem").select(F.when(us, _formatted(True)).otherwise(_formatted(False)).alias("price")))
+    return numbers.count_votes(spread(table(spark, sf_dir, "lineitem")).select(F.when(us, _formatted(True)).otherwise(_formatted(False)).alias("price")))
 
 
 @query(
@@ -204,7 +204,7 @@ def number_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = {"swiss": F.translate(us, ",", "'"), "backtick": F.translate(us, ",", "`"), "spaced": F.translate(us, ",", " ")}
     read = [numbers.normalize_number(t).try_cast("decimal(18,2)").alias(n) for n, t in texts.items()]
     read.append(numbers.normalize_number(eu, (".", ",")).try_cast("decimal(18,2)").alias("fixed"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *read)
+    return spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", *read)
 
 
 @query(
@@ -230,7 +230,7 @@ def round_half_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalize_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("o_orderdate")
     texts = {"iso": "yyyy-MM-dd", "us": "MM/dd/yyyy", "wordy": "MMM dd, yyyy hh:mm a"}
-    df = table(spark, sf_dir, "orders").select(
+    df = spread(table(spark, sf_dir, "orders")).select(
         "o_orderkey", *[F.date_format(d, f).alias(n) for n, f in texts.items()], F.concat(F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:30")).alias("shifted")
     )
     return df.select("o_orderkey", *[dates.to_date(F.col(n)).alias(n) for n in texts], dates.to_datetime(F.col("shifted")).alias("shifted"))
@@ -438,7 +438,7 @@ def dedupe_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WHEN value < 10 THEN 'check value fails' END AS error_message FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0 OR value < 10"
 )
 def reject_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "events").select(
+    df = spread(table(spark, sf_dir, "events")).select(
         "event_id", "value", F.when(F.col("event_id") % 11 == 0, "many").otherwise("7").alias("amount"), F.when(F.col("event_id") % 13 == 0, "long one").otherwise("ok").alias("label")
     )
     header = Header({"event_id": ColumnDef("bigint", primary=True), "value": ColumnDef("double"), "amount": ColumnDef("int"), "label": ColumnDef("varchar", 3)})
