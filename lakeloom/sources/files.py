@@ -39,15 +39,31 @@ class Files:
         finally:
             stream.close()
 
+    def _local(self, path: str):
+        """The ``java.io.File`` of a path in a local file system, None for any other.
+
+        There Hadoop's classes look for a file and then create it, and delete a
+        file and then rename another to its name; the system does each in one step.
+        """
+        p, fs = self._path(path)
+        kinds = ("org.apache.hadoop.fs.LocalFileSystem", "org.apache.hadoop.fs.RawLocalFileSystem")
+        return fs.pathToFile(p) if any(self._jvm.java.lang.Class.forName(k).isInstance(fs) for k in kinds) else None
+
     def create(self, path: str, text: str) -> bool:
-        """Create a file that must not exist; False if it does."""
+        """Create a file that must not exist; False if it does.  Of several that try, one succeeds."""
         p, fs = self._path(path)
-        try:
-            stream = fs.create(p, False)
-        except Py4JJavaError as e:
-            if "AlreadyExists" in str(e.java_exception.getClass().getName()):
+        if local := self._local(path):
+            local.getParentFile().mkdirs()
+            if not local.createNewFile():
                 return False
-            raise
+            stream = self._jvm.java.io.FileOutputStream(local)
+        else:
+            try:
+                stream = fs.create(p, False)
+            except Py4JJavaError as e:
+                if "AlreadyExists" in str(e.java_exception.getClass().getName()):
+                    return False
+                raise
         try:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
@@ -58,6 +74,11 @@ class Files:
         """Put a whole file in place of another by a rename, so that readers see the old or the new one."""
         temporary = f"{path}.{uuid.uuid4().hex}"
         self.create(temporary, text)
+        if local := self._local(path):
+            self._jvm.java.io.File(local.getParentFile(), f".{local.getName()}.crc").delete()  # a checksum of the old file
+            if not self._local(temporary).renameTo(local):
+                raise OSError(f"{temporary} cannot be renamed to {path}")
+            return
         p, _ = self._path(path)
         t, _ = self._path(temporary)
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self._conf) if p.toUri().getScheme() else self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._conf)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -550,3 +552,39 @@ def test_type_groups():
     assert [t for t in ts.ALL_TYPES if ts.is_integer(t)] == ["tinyint", "smallint", "int", "bigint"]
     assert [t for t in ts.ALL_TYPES if ts.is_floating(t)] == ["numeric", "decimal", "double", "exponent"]
     assert not ts.is_numeric("boolean") and not ts.is_numeric("binary") and ts.is_numeric("numeric") and not ts.is_date("timestamp")
+
+
+def test_one_of_many_creates_a_file(engine, tmp_path):
+    files, gate = engine().store.files, threading.Barrier(8)
+
+    def create(path):
+        gate.wait()
+        return files.create(path, "x")
+
+    with ThreadPoolExecutor(8) as pool:
+        made = [sum(pool.map(create, [f"file://{tmp_path}/new/{i}.lock"] * 8)) for i in range(100)]
+    assert made == [1] * 100
+
+
+def test_readers_see_a_whole_file_while_it_is_replaced(engine, tmp_path):
+    files, path = engine().store.files, f"file://{tmp_path}/m.json"
+    files.replace(path, "0" * 2000)
+    with ThreadPoolExecutor(1) as pool:
+        writer = pool.submit(lambda: [files.replace(path, str(i % 10) * 2000) for i in range(50)])
+        while not writer.done():
+            text = files.read(path)
+            assert text is not None and len(text) == 2000 and len(set(text)) == 1
+        writer.result()
+    assert files.read(path) == "9" * 2000 and files.names(f"file://{tmp_path}") == ["m.json"]
+
+
+def test_replacing_a_file_that_has_a_checksum(spark, engine, tmp_path):
+    """One written through Spark's file system classes, as earlier stores were."""
+    files, path = engine().store.files, f"file://{tmp_path}/m.json"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    stream.write(bytearray(b"old"))
+    stream.close()
+    assert (tmp_path / ".m.json.crc").exists() and not files.create(path, "other") and files.read(path) == "old"
+    files.replace(path, "new one")
+    assert files.read(path) == "new one"
