@@ -31,7 +31,7 @@ from .plans.profile import infer_header, quoted
 from .plans.shape import add_stamps, history_name, split_parts, too_wide
 from .sources.catalog import Catalog
 from .sources.rows import as_frame, frames
-from .sources.scratch import materialize, remove, spread
+from .sources.scratch import materialize, remove, small_methods, spread
 from .sources.store import Store
 
 HISTORY_TIME = "dwh_as_at"
@@ -324,10 +324,18 @@ class Engine:
         """
         for left in reversed(range(config.max_retries)):
             df, typed = self._typed(u, config)
-            reason = rejects.reason_of(df, typed, Header({n: c for n, c in u.header.items() if n in typed}), dict(config.checks))
+            own = "_typed"
+            while any(c.startswith(own) for c in df.columns):
+                own = f"_{own}"
+            # Each step's columns are made once, however often the next names them; only refused rows need their raw form.
+            made = {c: F.col(f"{own}{i}") for i, c in enumerate(typed)}
+            reason = rejects.reason_of(df, made, Header({n: c for n, c in u.header.items() if n in typed}), dict(config.checks))
             rows = spread(df.withColumn(ORDINAL, F.monotonically_increasing_id()))
-            marked = rows.select(ORDINAL, reason.alias("error_message"), *[v.alias(c) for c, v in typed.items()], F.struct(*[quoted(c) for c in df.columns]).alias("_raw"))
-            marked = materialize(marked, "staged")
+            rows = rows.withColumns({f"{own}{i}": v for i, v in enumerate(typed.values())}).withColumn(f"{own}_error", reason)
+            refused, raw = F.col(f"{own}_error"), F.struct(*[quoted(c) for c in df.columns])
+            marked = rows.select(ORDINAL, refused.alias("error_message"), *[v.alias(c) for c, v in made.items()], F.when(refused.isNotNull(), raw).alias("_raw"))
+            with small_methods(self.spark):
+                marked = materialize(marked, "staged")
             counts = tuple(marked.agg(F.count(F.lit(1)), F.count("error_message")).first())
             if not (left and counts[1] and config.rejected_rows_table) or config.safe_mode:
                 break

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import LoadConfig
+from ..sources.scratch import small_methods
 from . import patterns as P
 
 
@@ -24,6 +25,8 @@ def _grouped(separator: str, point: str) -> str:
 US_GROUPS, SWISS_GROUPS, BACKTICK_GROUPS, EU_GROUPS = (_grouped(s, p) for s, p in ((",", r"\."), ("'", r"\."), ("`", r"\."), (r"\.", ",")))
 PLAIN = r"\A-?(?=[.]?[0-9])[0-9]*(?:\.[0-9]*)?\z"
 LONE = r"\A-?(?=[,'`]?[0-9])[0-9]*[,'`][0-9]*\z"
+DIGITS = r"\A-?[0-9]+\z"  # plain in every layout
+POINTED = r"\A-?[0-9]+(?:\.[0-9]+)?\z"  # plain where the point is the decimal separator
 FIXED = rf"\A-?(?:(?=[.]?[0-9])[0-9]*|[0-9]{{0,3}}(?:,[0-9]{{3}})+|[0-9]{{0,2}}(?:,[0-9]{{2}})*,[0-9]{{3}})(?:\.[0-9]*)?\z"
 
 
@@ -34,8 +37,10 @@ def normalize_number(text: Column, separators: tuple[str, str] | None = None) ->
     Without ``separators`` (thousands, decimal), two kinds of separator decide by
     order, a repeated one groups, and a lone one is the decimal point.  The
     layout is found by whole-text patterns, so that the text is named only once
-    in each branch and the expression stays small.
+    in each branch and the expression stays small.  Texts that are plain already
+    are settled by one pattern.
     """
+    ready = text.rlike(POINTED if separators is None or separators[1] == "." else DIGITS)
     body = F.replace(text, F.lit(" "), F.lit(""))
     if separators is not None:
         body = F.translate(body, separators[0] + separators[1], ",.")
@@ -48,7 +53,7 @@ def normalize_number(text: Column, separators: tuple[str, str] | None = None) ->
             .when(body.rlike(EU_GROUPS), F.translate(body, ",.", "."))
             .when(body.rlike(SWISS_GROUPS) | body.rlike(BACKTICK_GROUPS), F.translate(body, "'`", ""))
         )
-    return F.regexp_replace(plain, r"\.\z", "")
+    return F.when(ready, text).otherwise(F.regexp_replace(plain, r"\.\z", ""))
 
 
 def _count(text: Column, char: str) -> Column:
@@ -63,21 +68,25 @@ def ambiguous_separator(text: Column) -> Column:
 def separator_vote(text: Column) -> Column:
     """'us', 'eu' or null: what one text says about the layout of numbers.
 
-    What is left of a number without its digits tells the layout, so that texts
-    without a separator are settled before any pattern.
+    What is left of a number without its digits tells the layout; it is bound to
+    a variable, so that it is worked out once.  Texts without a separator are
+    settled before any pattern.
     """
     s = F.trim(text)
-    marks = F.translate(s, "-0123456789", "")
     lone_is_point = ~s.rlike(r"\A-?[0-9]{0,3}[.,][0-9]{3}\z")
-    return F.when(
-        (marks != "") & s.rlike(P.NUMERIC),
-        F.when(_count(marks, ",") >= 2, "us")
-        .when(_count(marks, ".") >= 2, "eu")
-        .when(marks == ",.", "us")
-        .when(marks == ".,", "eu")
-        .when((marks == ",") & lone_is_point, "eu")
-        .when((marks == ".") & lone_is_point, "us"),
-    )
+
+    def vote(marks: Column) -> Column:
+        return (
+            F.when(_count(marks, ",") >= 2, "us")
+            .when(_count(marks, ".") >= 2, "eu")
+            .when(marks == ",.", "us")
+            .when(marks == ".,", "eu")
+            .when((marks == ",") & lone_is_point, "eu")
+            .when((marks == ".") & lone_is_point, "us")
+        )
+
+    separated = F.contains(text, F.lit(",")) | F.contains(text, F.lit("."))
+    return F.when(separated & s.rlike(P.NUMERIC), F.element_at(F.transform(F.array(F.translate(s, "-0123456789", "")), vote), 1))
 
 
 def count_votes(df: DataFrame) -> DataFrame:
@@ -95,7 +104,8 @@ def dataset_separators(df: DataFrame, config: LoadConfig) -> tuple[str, str] | N
         return config.separators
     if not any(isinstance(f.dataType, T.StringType) for f in df.schema.fields):
         return None
-    us, eu = count_votes(df).first()
+    with small_methods(df.sparkSession):
+        us, eu = count_votes(df).first()
     us, eu = us >= config.number_format_min_evidence, eu >= config.number_format_min_evidence
     if us and eu:
         config.log("warn", "numbers in both layouts (1,234.5 and 1.234,5): each value is read by itself; set number_format")
@@ -118,6 +128,7 @@ def js_number_text(value: Column) -> Column:
     """Text of a double as the source of the data would print it: ``1``, ``0.5``, ``10000000``, ``1e+21``.
 
     From 1e21 up and below 1e-6 it is in exponent form.  Not a number gives null.
+    Whole numbers below 1e15 and what Spark prints without an exponent need no pattern.
     """
     size = F.abs(value)
     exponent = (size >= 1e21) | ((size < 1e-6) & (size > 0))
@@ -125,4 +136,6 @@ def js_number_text(value: Column) -> Column:
     plain = F.when(size < 1, shown.cast("decimal(38,24)").cast("string")).otherwise(shown.cast("decimal(38,16)").cast("string"))
     plain = F.regexp_replace(F.regexp_replace(plain, r"(\.[0-9]*?)0+\z", "$1"), r"\.\z", "")
     plain = F.when(value == 0, "0").otherwise(plain)
-    return F.when(F.isnan(value) | (size == float("inf")), None).when(exponent, F.regexp_replace(shown, r"\.0E|E", "e")).otherwise(plain)
+    whole = (size < 1e15) & (value.try_cast("bigint").cast("double") == value)
+    settled = F.when(F.isnan(value) | (size == float("inf")), None).when(whole, value.try_cast("bigint").cast("string")).when((size >= 1e-3) & (size < 1e7), shown)
+    return settled.when(exponent, F.regexp_replace(shown, r"\.0E|E", "e")).otherwise(plain)

@@ -23,12 +23,15 @@ def is_nullish(text: Column) -> Column:
 
 def integer_width(text: Column) -> Column:
     """Narrowest integer type of plain digits; text beyond 64 bits."""
-    n = text.try_cast("decimal(38,0)")
+    return long_width(text.try_cast("bigint"))
+
+
+def long_width(n: Column) -> Column:
     return (
         F.when(n.between(-128, 127), "tinyint")
         .when(n.between(-32768, 32767), "smallint")
         .when(n.between(-2147483648, 2147483647), "int")
-        .when(n.between(-9223372036854775808, 9223372036854775807), "bigint")
+        .when(n.isNotNull(), "bigint")
         .otherwise("varchar")
     )
 
@@ -38,17 +41,29 @@ def text_tier(text: Column) -> Column:
     return F.when(n < 6553, "varchar").when(n < 65535, "text").when(n < 16777215, "mediumtext").otherwise("longtext")
 
 
-def text_type(text: Column, separators: tuple[str, str] | None = None) -> Column:
-    numeric = text.rlike(P.NUMERIC)
-    plain = normalize_number(text, separators)
-    # A number text is typed after its separators are read; it may turn out malformed.
-    number = F.when(plain.isNull(), "varchar").when(F.contains(plain, F.lit(".")), "decimal").otherwise(integer_width(plain))
+def number_form(text: Column, separators: tuple[str, str] | None = None) -> Column:
+    """Plain digits of a text that looks like a number, empty if it turns out malformed, null for other texts."""
+    return F.when(text.rlike(P.NUMERIC), F.coalesce(normalize_number(text, separators), F.lit("")))
+
+
+def text_type(text: Column, separators: tuple[str, str] | None = None, plain: Column | None = None) -> Column:
+    """Type of a text.  ``plain`` is its :func:`number_form`, if that is a column already."""
+
+    def number(p: Column) -> Column:
+        # A number text is typed after its separators are read; it may turn out malformed.
+        return F.when(p == "", "varchar").when(F.contains(p, F.lit(".")), "decimal").otherwise(integer_width(p))
+
+    if plain is None:  # bound to a variable, so that it is worked out once
+        numeric = text.rlike(P.NUMERIC)
+        typed = F.element_at(F.transform(F.array(number_form(text, separators)), number), 1)
+    else:
+        numeric, typed = plain.isNotNull(), number(plain)
     json = text.rlike(P.JSON_START) & F.try_parse_json(text).isNotNull()
     return (
         F.when(text.isNull(), None)
+        .when(~text.rlike("[0-9]"), F.when(text.rlike(P.BOOLEAN), "boolean").when(json, "json").otherwise(text_tier(text)))
         .when(text.rlike(P.LEADING_ZERO), "varchar")
-        .when(numeric, number)
-        .when(text.rlike(P.BOOLEAN), "boolean")
+        .when(numeric, typed)
         .when(text.rlike(P.EXPONENT), "exponent")
         .when(text.rlike(layouts.ZONED), "datetimetz")
         .when(text.rlike(layouts.UNZONED), "datetime")
@@ -69,7 +84,7 @@ def double_type(value: Column) -> Column:
         .when(F.isnan(value) | (size == float("inf")), "varchar")
         .when(exponent, "exponent")
         .when((size >= 1e15) & whole, F.when(size <= 9.2e18, "bigint").otherwise("varchar"))
-        .when(whole, integer_width(value.cast("decimal(38,0)").cast("string")))
+        .when(whole, long_width(value.try_cast("bigint")))
         .otherwise("decimal")
     )
 

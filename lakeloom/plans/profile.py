@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import LoadConfig
-from ..functions.numbers import ambiguous_separator, dataset_separators, js_number_text, normalize_number
+from ..functions.numbers import ambiguous_separator, dataset_separators, js_number_text
 from ..functions.typesystem import CODE, NOT_CATEGORICAL, NUMBER_CHAIN, collate, from_mask
-from ..functions.typing import is_nullish, value_type
+from ..functions.typing import is_nullish, number_form, text_type, value_type
 from ..functions.values import as_text, canonical_text, outside_hint
 from ..header import ColumnDef, Header
+from ..sources.scratch import small_methods
 
 SAMPLE_SEED = 17  # so that a load can be repeated
 RSD = 0.02  # relative standard error of distinct estimates
@@ -39,9 +40,9 @@ def present(column: Column, kind: T.DataType) -> Column:
 
 
 def plain_number(column: Column, kind: T.DataType, config: LoadConfig) -> Column:
-    """Plain digits of a number-like value, null for others."""
+    """Plain digits of a number-like value, null or empty for others."""
     if isinstance(kind, TEXT):
-        return normalize_number(column, config.separators)
+        return number_form(column, config.separators)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return js_number_text(column.cast("double"))
     return as_text(column, kind)
@@ -63,23 +64,40 @@ class ColumnStats:
     exact: bool
 
 
-def value_columns(name: str, kind: T.DataType, config: LoadConfig, at: int) -> dict[str, Column]:
-    """First step of a column's measures: its present value and the value's type, as columns of their own."""
-    v = present(quoted(name), kind)
+def with_values(df: DataFrame, config: LoadConfig) -> DataFrame:
+    """First step of the measures: each column's present value, its text, the plain number in it and its type.
+
+    They are columns of their own, each made from those before it, so that the
+    aggregates that name them, and the types that name the number, don't work
+    them out again: in the branches of an expression Spark would, at every mention.
+    """
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    each = list(enumerate(fields.items()))
+    out = df.select(*[present(quoted(n), k).alias(f"v{i}") for i, (n, k) in each])
+    out = out.withColumns({f"p{i}": plain_number(F.col(f"v{i}"), k, config) for i, (_, k) in each if not isinstance(k, WHOLE)})
+    shown = (T.DoubleType, T.FloatType)  # their text is their plain number, where they have one
+    out = out.withColumns({
+        a: c for i, (n, k) in each if not isinstance(k, WHOLE) for a, c in {
+            f"s{i}": F.coalesce(F.col(f"p{i}"), F.col(f"v{i}").cast("string")) if isinstance(k, shown) else F.col(f"v{i}") if isinstance(k, TEXT) else F.col(f"p{i}"),
+            f"t{i}": value_form(n, k, config, i),
+        }.items()
+    })
+    return out
+
+
+def value_form(name: str, kind: T.DataType, config: LoadConfig, at: int) -> Column:
+    """Type of each value of a column, from the columns made before."""
+    v = F.col(f"v{at}")
     if name in config.force_string_columns:
-        each = F.when(v.isNotNull(), "varchar")
-    elif name in config.boolean_columns:
-        each = F.when(v.isNotNull(), "boolean")
-    elif isinstance(kind, WHOLE):
-        each = F.lit(None).cast("string")  # the extremes tell
-    else:
-        each = value_type(quoted(name), kind, config.separators)
-    return {f"v{at}": v, f"t{at}": each}
+        return F.when(v.isNotNull(), "varchar")
+    if name in config.boolean_columns:
+        return F.when(v.isNotNull(), "boolean")
+    return text_type(v, config.separators, F.col(f"p{at}")) if isinstance(kind, TEXT) else value_type(v, kind, config.separators)
 
 
 def measures(kind: T.DataType, config: LoadConfig, at: int, estimate: bool = True) -> dict[str, Column]:
-    """Aggregates of a column over the columns that :func:`value_columns` made (A1)."""
-    v, each = F.col(f"v{at}"), F.col(f"t{at}")
+    """Aggregates of a column over the columns that :func:`with_values` made (A1)."""
+    v, each, text = F.col(f"v{at}"), F.col(f"t{at}"), F.col(f"s{at}")
     out: dict[str, Column] = {"values": F.count(v)}
     if isinstance(kind, WHOLE):
         low, high = F.min(v.cast("long")), F.max(v.cast("long"))
@@ -88,12 +106,11 @@ def measures(kind: T.DataType, config: LoadConfig, at: int, estimate: bool = Tru
         out |= {"types": F.lit(None).cast("long"), "low": low, "high": high, "length": none, "bytes": digits, "int_digits": digits, "scale": F.lit(0), "ambiguous": F.lit(False)}
     else:
         code = F.element_at(F.create_map(*[F.lit(x) for t, i in CODE.items() for x in (t, 1 << i)]), each)
-        text = as_text(v, kind)
         chars = F.length(text)
         if config.utf16_lengths:
             chars = chars + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
         numeric = each.isin(*[t for t in NUMBER_CHAIN if t not in ("exponent", "boolean")])
-        number = F.when(numeric, plain_number(v, kind, config))
+        number = F.when(numeric, F.col(f"p{at}"))
         out |= {
             "types": F.bit_or(code),
             "length": F.max(F.when(~numeric, chars)),
@@ -133,8 +150,8 @@ def profile(df: DataFrame, config: LoadConfig, exact: bool = False, distinct: bo
         return {}, df.count()
     wanted = {n: measures(k, config, i, distinct) for i, (n, k) in enumerate(fields.items())}
     columns = [c.alias(f"c{i}_{m}") for i, ms in enumerate(wanted.values()) for m, c in ms.items()]
-    staged = df.select(*[c.alias(a) for i, (n, k) in enumerate(fields.items()) for a, c in value_columns(n, k, config, i).items()])
-    row = staged.agg(F.count(F.lit(1)).alias("rows"), *columns).first()
+    with small_methods(df.sparkSession):
+        row = with_values(df, config).agg(F.count(F.lit(1)).alias("rows"), *columns).first()
     rows = row["rows"]
     found: dict[str, dict] = {n: {m: row[f"c{i}_{m}"] for m in wanted[n]} for i, n in enumerate(fields)}
     near: dict[str, DataFrame] = {}

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _scopes = threading.local()  # paths written within each settle() under way
+_settings: dict[str, list] = {}  # blocks under way for each setting, and its value before the first
+_settings_lock = threading.Lock()
+COMPILED_BYTES = 8000  # fixed by HotSpot (HugeMethodLimit)
 ROW_IN_PARTITION_BITS = 33  # fixed by Spark's monotonically_increasing_id()
 
 
@@ -70,16 +73,31 @@ def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Dat
 
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
-    """A session setting for the jobs that run within the block."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+    """A session setting for the jobs that run within the block; of blocks of several threads that overlap, the last to end restores it."""
+    with _settings_lock:
+        held = _settings.setdefault(key, [0, spark.conf.get(key, None)])
+        held[0] += 1
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        with _settings_lock:
+            held[0] -= 1
+            if not held[0]:
+                before = _settings.pop(key)[1]
+                if before is None:
+                    spark.conf.unset(key)
+                else:
+                    spark.conf.set(key, before)
+
+
+def small_methods(spark: SparkSession):
+    """Plans of long expressions without one method for a whole stage.
+
+    The JVM interprets methods beyond 8,000 bytes for good; Spark writes such
+    ones for a stage, but splits an operator's own expressions into short ones.
+    """
+    return setting(spark, "spark.sql.codegen.hugeMethodLimit", str(COMPILED_BYTES))
 
 
 def remove(df: DataFrame) -> None:

@@ -588,3 +588,15 @@ def test_replacing_a_file_that_has_a_checksum(spark, engine, tmp_path):
     assert (tmp_path / ".m.json.crc").exists() and not files.create(path, "other") and files.read(path) == "old"
     files.replace(path, "new one")
     assert files.read(path) == "new one"
+
+
+def test_overlapping_settings_are_restored(spark):
+    from lakeloom.sources.scratch import setting
+
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before, one, two = spark.conf.get(key), setting(spark, key, "8000"), setting(spark, key, "8000")
+    one.__enter__()
+    two.__enter__()
+    one.__exit__(None, None, None)
+    two.__exit__(None, None, None)
+    assert spark.conf.get(key) == before

@@ -145,3 +145,21 @@ def test_lengths_and_predicates():
     assert ts.text_tier(10) == "varchar" and ts.text_tier(7000) == "text" and ts.text_tier(20_000_000) == "longtext"
     with pytest.raises(ValueError):
         ts.text_tier(4294967295)
+
+
+def test_numbers_are_worked_out_once(spark):
+    def plan(of):
+        return spark.createDataFrame([("1",)], "v string").select(of(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan(typing.text_type).count("RLIKE") < 50
+    assert plan(numbers.separator_vote).count("translate(") <= 2  # in the expression and in its name
+
+
+def test_type_from_a_number_column(spark):
+    texts = ["7", "-7", "300", "70000", "9223372036854775807", "9223372036854775808", "1.5", "1,234", "1,234.5", "1.234,5", "1'234", "1 234", "01", "1.2.3", "true", "1e5", "2020-01-02", "12:30", "{}", "a", "-", "5."]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for pair in (None, (",", "."), (".", ",")):
+        made = df.withColumn("p", typing.number_form(F.col("v"), pair))
+        rows = made.select("v", typing.text_type(F.col("v"), pair).alias("a"), typing.text_type(F.col("v"), pair, F.col("p")).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in rows)
+        assert {r["v"]: r["a"] for r in rows} | {"9223372036854775807": "bigint", "9223372036854775808": "varchar", "300": "smallint", "70000": "int", "01": "varchar", "a": "varchar"} == {r["v"]: r["a"] for r in rows}
