@@ -283,6 +283,8 @@ class Engine:
                 if u is units[0]:
                     result.inserted = staged.count()
                 continue
+            staged = materialize(staged, "batch")  # named by every step of a merge; one row a key takes a shuffle and a sort
+            stage.append(staged)
             keep = [n for n, c in u.header.items() if c.calculated and not c.updated_calculated]
             insert_only = config.insert_type == "INSERT"
             shape = [[(n, c.data_type) for n, c in h.items()] for h in (u.current, u.header)]

@@ -590,6 +590,17 @@ def test_replacing_a_file_that_has_a_checksum(spark, engine, tmp_path):
     assert files.read(path) == "new one"
 
 
+def test_merge_reads_a_written_batch(engine, monkeypatch):
+    seen = []
+    upsert = merge.upsert
+    monkeypatch.setattr(merge, "upsert", lambda target, staged, *rest: seen.append(staged) or upsert(target, staged, *rest))
+    e = engine()
+    for v in (1, 2):
+        assert e.load("t", [{"id": i, "v": v} for i in range(3)], ["id"]).success
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and rows_of(e.read("t"), "id", "v") == [(i, 2) for i in range(3)]
+
+
 def test_overlapping_settings_are_restored(spark):
     from lakeloom.sources.scratch import setting
 
