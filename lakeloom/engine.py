@@ -91,17 +91,25 @@ class Engine:
 
     # Planning
 
-    def plan(self, table: str, df: DataFrame, config: LoadConfig, primary_key: Sequence[str] = (), assume: Mapping[str, ColumnDef] | None = None, existing: Header | None = None, freeze_keys: bool = False, extend_key: bool = False) -> list[Unit]:
-        """Units of a load: the table itself or its parts, and its nested tables."""
+    def plan(self, table: str, df: DataFrame, config: LoadConfig, primary_key: Sequence[str] = (), assume: Mapping[str, ColumnDef] | None = None, existing: Header | None = None, freeze_keys: bool = False, extend_key: bool = False, seen: dict | None = None) -> list[Unit]:
+        """Units of a load: the table itself or its parts, and its nested tables.
+
+        ``seen`` keeps what the batch alone tells, for another plan of it.
+        """
         whole, df = df, spread(df)
-        pair = dataset_separators(df, config)
+        seen = {} if seen is None else seen
+        if "pair" not in seen:
+            seen["pair"] = dataset_separators(df, config)
+        pair = seen["pair"]
         if pair:
             config = config.with_(thousands_separator=pair[0], decimal_separator=pair[1])
         current = existing if existing is not None else self._current(table)
         if assume and all(c in assume for c in df.columns):
             header = Header({c: assume[c] for c in df.columns})
         else:
-            header, stats, rows = infer_header(df, config, voted=True)
+            if "inferred" not in seen:
+                seen["inferred"] = infer_header(df, config, voted=True)
+            header, stats, rows = seen["inferred"]
             header = overlay(header, {k: v for k, v in (assume or {}).items() if k in df.columns})
             if config.auto_indexing and not freeze_keys:
                 known = primary_key or (current.primary_keys if current else ())
@@ -169,11 +177,12 @@ class Engine:
             df = as_frame(self.spark, data)
             guard = self.store.files.lock(f"{self.store.path}/_locks/{table}.lock", config.schema_lock_timeout) if config.use_schema_lock else nullcontext()
             with guard:
+                seen: dict = {}  # the batch is profiled once, however often its load is planned
                 for left in reversed(range(config.max_retries)):
                     result = LoadResult(False, table)
                     try:
                         with self.store.pinned():
-                            self._attempt(table, df, config, result, primary_key, assume, mark, freeze_keys)
+                            self._attempt(table, df, config, result, primary_key, assume, mark, freeze_keys, seen)
                         break
                     except ConcurrentLoadError:
                         if not left:
@@ -186,10 +195,10 @@ class Engine:
         return result
 
     def _attempt(
-        self, table: str, df: DataFrame, config: LoadConfig, result: LoadResult, primary_key: Sequence[str], assume: Mapping[str, ColumnDef] | None, mark: tuple[str, int] | None, freeze_keys: bool
+        self, table: str, df: DataFrame, config: LoadConfig, result: LoadResult, primary_key: Sequence[str], assume: Mapping[str, ColumnDef] | None, mark: tuple[str, int] | None, freeze_keys: bool, seen: dict
     ) -> None:
         t = time.monotonic()
-        units = self.plan(table, df, config, primary_key, assume, freeze_keys=freeze_keys)
+        units = self.plan(table, df, config, primary_key, assume, freeze_keys=freeze_keys, seen=seen)
         result.phases["plan"] = int((time.monotonic() - t) * 1000)
         result.tables = [u.table for u in units]
         for u in units:

@@ -601,6 +601,25 @@ def test_merge_reads_a_written_batch(engine, monkeypatch):
     assert "max_by" not in plan and rows_of(e.read("t"), "id", "v") == [(i, 2) for i in range(3)]
 
 
+def test_refused_plan_keeps_its_profile(engine, monkeypatch):
+    from lakeloom import engine as module
+    from lakeloom.errors import ConcurrentLoadError
+
+    e, calls, refused = engine(), [], []
+    infer_header, commit = module.infer_header, e.store.commit
+    monkeypatch.setattr(module, "infer_header", lambda *a, **k: calls.append(1) or infer_header(*a, **k))
+
+    def once(*args, **options):
+        if not refused:
+            refused.append(1)
+            raise ConcurrentLoadError("meanwhile")
+        commit(*args, **options)
+
+    monkeypatch.setattr(e.store, "commit", once)
+    assert e.load("t", [{"id": 1, "v": "a"}, {"id": 2, "v": "b"}], ["id"]).success and len(calls) == 1
+    assert rows_of(e.read("t"), "id", "v") == [(1, "a"), (2, "b")]
+
+
 def test_overlapping_settings_are_restored(spark):
     from lakeloom.sources.scratch import setting
 
